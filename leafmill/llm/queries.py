@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, chat, linededup, mixing
+from leafmill.llm import bpe, chat, jaccardjoin, linededup, mixing, quality, simhash
 from leafmill.session import ship, table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccardjoin.join(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -16,6 +21,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -29,14 +39,23 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return simhash.report(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_format": op9_chat_format,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
+    "op1_jaccard_join": jaccardjoin.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
     "op9_chat_format": chat.ORACLE,
