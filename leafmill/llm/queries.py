@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, chat, jaccardjoin, linededup, mixing, quality, simhash
+from leafmill.llm import bpe, chat, jaccardjoin, langid, linededup, mixing, quality, simhash
 from leafmill.session import ship, table
 
 
@@ -13,6 +13,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccardjoin.join(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return langid.predictions(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
