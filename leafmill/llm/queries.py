@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, chat, htmltext, jaccardjoin, langid, linededup, mixing, quality, simhash
+from leafmill.llm import bpe, chat, htmltext, jaccardjoin, langid, linededup, mixing, quality, simhash, substrings
 from leafmill.session import ship, table
 
 
@@ -26,6 +26,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substrings.dedup(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return htmltext.extract(spark, table(spark, sf_dir, "pages"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
