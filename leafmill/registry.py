@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from leafmill.plans import queries_records, queries_text
+
+QUERIES: dict = {**queries_text.QUERIES, **queries_records.QUERIES}
+ORACLES: dict = {**queries_text.ORACLES, **queries_records.ORACLES}
 FLAGSHIP = "corpus_summary"
