@@ -420,7 +420,7 @@ def review_flags(c: Column) -> Column:
     """Boundary wording (English family), high-risk section, statistics, instruments."""
     v = text(c)
     rules = {
-        "boundary": r"(?i)\b(?:not|no|without|may|might|could|suggest|appear|associat|correlat|predict|caus|effect|limit)\w*\b",
+        "boundary": r"(?i)\b(?:not|no|without|may|might|could|suggest|appear|associat|correlat|predict|caus|effect|limit)",
         "high-risk-section": r"(?i)\b(?:abstract|results?|discussion|limitations?|conclusions?)\b|(?:摘要|结果|讨论|局限|结论)",
         "statistics": r"(?i)(?:\b(?:sample|participant|respondent|subjects?|patients?|mean|median|regression|anova)\b|\d+(?:\.\d+)?\s*%)",
         "instrument": r"(?i)\b(?:scale|questionnaire|inventory|instrument|measure|item|subscale|likert|reliability|validity)\b",

@@ -106,12 +106,16 @@ def contains_probes(items: DataFrame, pages: DataFrame, item_id: str, page_id: s
     """
     probe = items.select(item_id, F.explode(F.array_distinct(X.probes(F.col("text"), size, most))).alias("probe")).where("probe <> ''")
     lengths = [r[0] for r in probe.select(F.char_length("probe")).distinct().collect()]  # at most `size` lengths
-    v = X.probe_text(F.col("text"))
+    piece = 1000
+    v = pages.select(page_id, X.probe_text(F.col("text")).alias("v"))
     out = None
     for n in lengths:
-        grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(v) - n + 1, F.lit(1))), lambda i, n=n: F.substr(v, i, F.lit(n)))))
         wanted = probe.where(F.char_length("probe") == n)
-        hit = pages.select(page_id, grams.alias("probe")).join(wanted, "probe")
+        starts = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("v") - n, F.lit(0)) / piece)))
+        cut = v.select(page_id, "v", starts.alias("p")).select(page_id, F.substr("v", (F.col("p") * piece + 1).cast("int"), F.lit(piece + n - 1)).alias("v"))
+        spots = F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("v") - n + 1, F.lit(1))))
+        grams = cut.select(page_id, "v", spots.alias("i")).select(page_id, F.substr("v", F.col("i"), F.lit(n)).alias("probe"))
+        hit = grams.join(wanted, "probe")
         out = hit if out is None else out.unionByName(hit)
     if out is None:
         return items.select(item_id).crossJoin(pages.select(page_id)).where("false").withColumn("n_probes", F.lit(0).cast("long"))

@@ -51,7 +51,7 @@ def quality_join(spark, d):
 def email_acronym_anchors(spark, d):
     docs = _docs(spark, d)
     rows = lambda kind, c: docs.select("doc_id", F.lit(kind).alias("kind"), F.explode(c).alias("anchor"))
-    return rows("email", X.emails(F.col("text"))).unionByName(rows("caps", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{3,}\b"), F.lit(0))))))
+    return rows("email", X.emails(F.col("text"))).unionByName(rows("caps", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])[A-Z]{3,}(?![A-Za-z0-9_])"), F.lit(0))))))
 
 
 def url_anchors(spark, d):
@@ -274,7 +274,7 @@ ORACLES = {
     "sentence_retention": f"""WITH {_PAIRS_SQL} SELECT a_id, b_id, len(list_filter(regexp_split_to_array(a, '[.!?]+\\s|\\n+'), lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]')) >= 8)) AS a_sentences,
         len(list_filter(regexp_split_to_array(b, '[.!?]+\\s|\\n+'), lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]')) >= 8)) AS b_sentences FROM p""",
     "review_flags": r"""SELECT doc_id, array_to_string(list_filter([
-        CASE WHEN regexp_matches(text, '(?i)\b(?:not|no|without|may|might|could|suggest|appear|associat|correlat|predict|caus|effect|limit)\w*\b') THEN 'boundary' END,
+        CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:not|no|without|may|might|could|suggest|appear|associat|correlat|predict|caus|effect|limit)') THEN 'boundary' END,
         CASE WHEN regexp_matches(text, '(?i)\b(?:abstract|results?|discussion|limitations?|conclusions?)\b') THEN 'high-risk-section' END,
         CASE WHEN regexp_matches(text, '(?i)(?:\b(?:sample|participant|respondent|subjects?|patients?|mean|median|regression|anova)\b|\d+(?:\.\d+)?\s*%)') THEN 'statistics' END,
         CASE WHEN regexp_matches(text, '(?i)\b(?:scale|questionnaire|inventory|instrument|measure|item|subscale|likert|reliability|validity)\b') THEN 'instrument' END], lambda x: x IS NOT NULL), ',') AS flags
