@@ -225,7 +225,7 @@ def year_present(year: Column, target: Column) -> Column:
     """The year, or for a decade such as 1980s the Chinese phrase."""
     plain = F.regexp_replace(F.lower(year), "[’']", "")
     start = F.regexp_extract(plain, r"^((?:18|19|20)\d{2})s$", 1)
-    n = start.cast("int")
+    n = start.try_cast("int")
     phrase = F.concat((F.floor(n / 100) + 1).cast("string"), F.lit("世纪"), (n % 100).cast("string"), F.lit("年代"))
     squeezed = F.regexp_replace(text(target), SPACE, "")
     named = F.array_contains(F.transform(_all(text(target), r"(?i)(?:18|19|20)\d{2}(?:['’]?s)?"), lambda x: F.regexp_replace(F.lower(x), "[’']", "")), plain)
@@ -377,8 +377,8 @@ def numbers_of_spec(c: Column) -> Column:
     """`1-3,7` as numbers; null for a malformed list."""
     parts = F.split(F.regexp_replace(text(c), SPACE, ""), ",")
     ok = text(c).rlike(r"^\s*\d+\s*(?:-\s*\d+\s*)?(?:,\s*\d+\s*(?:-\s*\d+\s*)?)*$")
-    first = lambda x: F.substring_index(x, "-", 1).cast("int")
-    last = lambda x: F.substring_index(x, "-", -1).cast("int")
+    first = lambda x: F.substring_index(x, "-", 1).try_cast("int")
+    last = lambda x: F.substring_index(x, "-", -1).try_cast("int")
     each = F.transform(parts, lambda x: F.when(first(x) <= last(x), F.sequence(first(x), last(x))).otherwise(F.array().cast("array<int>")))
     return F.when(ok, F.array_sort(F.array_distinct(F.flatten(each))))
 
