@@ -1,13 +1,14 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is its distinct word shingles, as 64-bit hashes. Documents with equal sets are one class,
-represented by the least id. All sets are ordered by one global order, rarest first (a count sketch of
-fixed size over all documents, then the hash). Two sets that reach the threshold share at least L shingles of their
+represented by the least id. All sets are ordered by one global order, rarest first: the counts of the `HEAVY`
+most frequent shingles, gathered over all documents in chunks and so a little low for less frequent ones, then the hash. Any global
+order gives the same result; a good one keeps frequent shingles out of the prefixes. Two sets that reach the threshold share at least L shingles of their
 prefixes of length n - ceil(threshold * n) + L, for any L; each document picks the L of least estimated cost
 (postings read, and candidates that remain when L matches are needed), and a pair needs as many
 shared prefix shingles as the smaller L of the two before its sets are compared.
 
-Pairs are not all made: first every posting list compares its members with one leader, which joins
+Pairs are not all made: first every posting list compares its members with one leader, the one with least before it, which joins
 a group of copies in as many comparisons as it has members; then only lists that still hold several components
 are joined with themselves, and only across components. That second step is exact for all that remains, so the
 components are those of all links.
@@ -24,16 +25,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import textkernel as K
 from leafmill.llm.components import components
+from leafmill.llm.idfilter import thin
 from leafmill.llm.scratch import Scratch
 
 _U = np.uint64
-SKETCH_BITS = 16
+CHUNK = 1 << 22  # shingles counted together; those seen once in a chunk are not frequent there
+HEAVY = 1 << 19
 MOST_MATCHES = 3
+STARS = 1
 COMPARE_COST = 20.0  # of comparing two sets, in postings read
 
 
@@ -51,12 +55,27 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, np.
             yield lo + i, K.shingle_set(h[at[i] : at[i + 1]], k)
 
 
+def _repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than one set of the chunk holds, and in how many."""
+    s = np.concatenate(parts)
+    s.sort()
+    edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True])))
+    n = np.diff(edge)
+    many = n > 1
+    return s[edge[:-1][many]], n[many]
+
+
 def _survey(k: int):
-    """Rows (kind 0): id, set size and a 128-bit digest of the set; at the end (kind 1) the task's sketch: bucket and count."""
+    """Rows of kind 0: id, set size and a 128-bit digest of the set. Rows of kind 1: a shingle that repeats in a chunk, and its count."""
     names = ["kind", "id", "n", "a", "b"]
 
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = _repeated(parts)
+        zero = np.zeros(len(token), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(token.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(zero), pa.array(zero)], names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        held, size = [], 0
         for batch in batches:
             rows, n, a, b = [], [], [], []
             for row, s in _sets(batch, 1, k):
@@ -64,18 +83,29 @@ def _survey(k: int):
                 n.append(len(s))
                 a.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
                 b.append(int(K.mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else 0)
-                np.add.at(sketch, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
+                held.append(s)
+                size += len(s)
+                if size >= CHUNK:
+                    yield counted(held)
+                    held, size = [], 0
             if rows:
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), batch.column(0), pa.array(n, pa.int64()), signed(a), signed(b)], names)
-        at = np.flatnonzero(sketch)
-        if len(at):
-            zero = np.zeros(len(at), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(at), pa.array(sketch[at]), pa.array(zero), pa.array(zero)], names)
+        if size:
+            yield counted(held)
 
     return run
 
 
+def frequency(heavy: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
+    """Counts of the shingles among the heavy ones (sorted), 1 for all others."""
+    token, n = heavy
+    if not len(token):
+        return np.ones(len(s), np.int64)
+    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+    return np.where(token[at] == s, n[at], 1)
+
+
 def choose(freq: np.ndarray, n: int, percent: int, most: int = MOST_MATCHES) -> int:
     """The number of matches L of least cost for a set whose ordered shingles have estimated frequencies `freq`."""
     first = n - need(n, percent) + 1
@@ -91,20 +121,18 @@ def choose(freq: np.ndarray, n: int, percent: int, most: int = MOST_MATCHES) ->
     return at
 
 
-def _prefixes(k: int, percent: int, sketch):
+def _prefixes(k: int, percent: int, heavy):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(sketch.value, np.int64)
-        noise = counts.mean()
+        pair = tuple(np.frombuffer(x, t) for x, t in zip(heavy.value, (np.uint64, np.int64), strict=True))
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rep, n, matches, tokens = [], [], [], []
             for row, s in _sets(batch, 1, k):
                 if not len(s) or ids[row] is None:
                     continue
-                freq = counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-                freq = np.where(freq > 4 * noise, freq, 0)  # only what stands out of the sketch's noise counts as frequent
+                freq = frequency(pair, s)
                 order = np.lexsort((s, freq))
-                m = choose(np.maximum(freq[order], 1), len(s), percent)
+                m = choose(freq[order], len(s), percent)
                 rep.append(ids[row])
                 n.append(len(s))
                 matches.append(m)
@@ -117,33 +145,24 @@ def _prefixes(k: int, percent: int, sketch):
     return run
 
 
-def _binary_sets(k: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows, sets = [], []
-            for row, s in _sets(batch, 1, k):
-                rows.append(ids[row])
-                sets.append(s.tobytes())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
-
-    return run
-
-
-def _linked(percent: int):
+def _linked(percent: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        view = lru_cache(64)(lambda b: np.frombuffer(b, np.uint64))
+        last: tuple[str | None, np.ndarray | None] = (None, None)
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = view(a[i].as_py()), np.frombuffer(b[i].as_py(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["u", "v"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                others = [s for _, s in _sets(part, 3, k)]
+                keep = np.zeros(part.num_rows, bool)
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    if text != last[0]:  # rows come sorted by u
+                        last = text, next(s for _, s in _sets(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["t"]), 0, k))
+                    x, y = last[1], others[i]
+                    both = np.concatenate((x, y))
+                    both.sort(kind="stable")
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                mask = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["u", "v"])
 
     return run
 
@@ -160,23 +179,29 @@ class JaccardJoin:
     def _survey(self) -> None:
         seen = self.scratch.put(self.docs.mapInArrow(_survey(self.k), "kind int, id long, n long, a long, b long"), "survey")
         self.info = seen.where("kind = 0").select("id", "n", "a", "b")
-        rows = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect()  # 2 ** SKETCH_BITS rows at most
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for r in rows:
-            counts[r["id"]] = r["n"]
-        self.sketch = self.spark.sparkContext.broadcast(counts.tobytes())
+        counts = seen.where("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("n"))
+        top = counts.orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
+        token, n = (top.column(c).to_numpy().astype(np.int64) for c in ("token", "n"))
+        token = token.view(np.uint64)
+        order = np.argsort(token)
+        self.heavy = self.spark.sparkContext.broadcast((token[order].tobytes(), n[order].tobytes()))
         classes = self.info.where("n > 0 and id is not null").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
         self.classes = self.scratch.put(classes, "classes")
 
     def _postings(self) -> DataFrame:
         """(token, rep, n, matches) of prefix shingles that more than one class holds."""
-        lists = self.docs.mapInArrow(_prefixes(self.k, self.percent, self.sketch), "rep long, n long, matches int, tokens array<long>")
+        lists = self.docs.mapInArrow(_prefixes(self.k, self.percent, self.heavy), "rep long, n long, matches int, tokens array<long>")
         lists = lists.join(self.classes.select("rep", "n"), ["rep", "n"], "left_semi")
-        all_rows = self.scratch.put(lists.select("rep", "n", "matches", F.explode("tokens").alias("token")).distinct() if self._repeats() else lists.select("rep", "n", "matches", F.explode("tokens").alias("token")), "postings")
-        shared = all_rows.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token")
-        live = self.scratch.put(all_rows.join(shared, "token"), "shared")
-        self.scratch.drop(all_rows)
-        return live
+        if self._repeats():
+            lists = lists.dropDuplicates(["rep", "n", "tokens"])
+        lists = self.scratch.put(lists, "prefixes")
+        rows = lists.select("rep", F.posexplode("tokens").alias("pos", "token"))
+        if self._repeats():
+            rows = rows.groupBy("rep", "token").agg(F.lit(0).alias("pos"))
+        shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        tokens = F.array_distinct(F.flatten(F.collect_list("tokens")))
+        self.sets = lists.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("least_n"), F.min("matches").alias("matches"), tokens.alias("tokens"))
+        return self.scratch.put(rows.join(shared, "token").join(self.sets.drop("tokens"), "rep"), "postings")
 
     def _repeats(self) -> bool:
         """Whether some id has several rows."""
@@ -186,36 +211,58 @@ class JaccardJoin:
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that reach the threshold."""
         pairs = self.scratch.put(pairs, "pairs")
-        wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        sets = self.docs.join(wanted, "id", "left_semi").mapInArrow(_binary_sets(self.k), "id long, set binary")
-        sets = self.scratch.put(sets, "sets")
-        a = sets.select(F.col("id").alias("u"), F.col("set").alias("x"))
-        b = sets.select(F.col("id").alias("v"), F.col("set").alias("y"))
-        out = self.scratch.put(pairs.join(b, "v").join(a, "u").select("u", "v", "x", "y").mapInArrow(_linked(self.percent), "u long, v long"), "links")
-        self.scratch.drop(sets, pairs)
+        wanted = pairs.select("u").union(pairs.select("v")).distinct()
+        texts = self.scratch.put(thin(self.spark, self.docs.where("id is not null and text is not null"), "id", wanted), "texts")
+        a = texts.select(F.col("id").alias("u"), F.col("text").alias("x"))
+        b = texts.select(F.col("id").alias("v"), F.col("text").alias("y"))
+        rows = pairs.join(b, "v").join(a, "u").select("u", "v", "x", "y")
+        out = self.scratch.put(rows.mapInArrow(_linked(self.percent, self.k), "u long, v long"), "links")
+        self.scratch.drop(texts, pairs)
         return out
 
-    def _near_sizes(self) -> F.Column:
-        return 100 * F.least("a.n", "b.n") >= self.percent * F.greatest("a.n", "b.n")
+    def _possible(self) -> F.Column:
+        """Whether two postings of one shingle can belong to a link, by sizes and positions.
+
+        If it is the first shingle that the two prefixes share, nothing before it is common, so the sets overlap in no more than what
+        either has from there on. A link passes at the first shingle it shares, which is all it needs.
+        """
+        p = self.percent
+        sizes = (F.greatest("a.least_n", "b.least_n") <= F.least("a.n", "b.n")) | (100 * F.least("a.n", "b.n") >= p * F.greatest("a.least_n", "b.least_n"))
+        most = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+        return sizes & ((100 + p) * most >= p * (F.col("a.least_n") + F.col("b.least_n")))
+
+    def _matched(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) whose prefixes share as many shingles as the smaller number of matches of the two."""
+        side = lambda n: self.sets.select(F.col("rep").alias(n), F.col("matches").alias(f"m_{n}"), F.col("tokens").alias(f"t_{n}"))
+        both = pairs.join(side("v"), "v").join(side("u"), "u")
+        return both.where(F.size(F.array_intersect("t_u", "t_v")) >= F.least("m_u", "m_v")).select("u", "v")
+
+    def _stars(self, postings: DataFrame, priority: F.Column) -> DataFrame:
+        """Pairs of every posting with its shingle's first member by `priority`, with as many matches as they need."""
+        leaders = postings.groupBy("token").agg(F.min_by(F.struct("rep", "n", "least_n", "pos", "root"), priority).alias("b"))
+        pairs = postings.alias("a").join(leaders.select("token", "b.*").alias("b"), "token").where(F.col("a.root") != F.col("b.root")).where(self._possible())
+        return self._matched(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())
+
+    def _mixed(self, live: DataFrame, roots: DataFrame) -> DataFrame:
+        """Postings of the shingles that still hold several components."""
+        rooted = live.drop("root").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        return self.scratch.put(rooted.join(mixed, "token"), "rest")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links between classes that give the components of all links, and the components (node, root)."""
-        live = self._postings()
-        leaders = live.groupBy("token").agg(F.min_by(F.struct("rep", "n", "matches"), F.xxhash64("rep", F.lit(0))).alias("b"))
-        star = live.alias("a").join(leaders.select("token", "b.*").alias("b"), "token").where(F.col("a.rep") != F.col("b.rep")).where(self._near_sizes())
-        star = star.groupBy(F.col("b.rep").alias("u"), F.col("a.rep").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("a.matches", "b.matches")).alias("m")).where("c >= m").select("u", "v")
-        star = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        first = self._verify(star)
-        roots = self.scratch.put(components(first, self.scratch), "roots")
-
-        rooted = live.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-        rest = self.scratch.put(rooted.join(mixed, "token"), "rest")
-        across = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & self._near_sizes()
+        rest = self._postings().withColumn("root", F.col("rep"))
+        every = None
+        for turn in range(STARS):
+            order = F.struct("pos", F.xxhash64("rep").alias("h")) if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"))
+            found = self._verify(self._stars(rest, order))
+            every = found if every is None else every.unionByName(found)
+            roots = self.scratch.put(components(every, self.scratch), "roots")
+            rest = self._mixed(rest, roots)
+        across = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & self._possible()
         pairs = rest.alias("a").join(rest.alias("b"), across)
-        pairs = pairs.groupBy(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("a.matches", "b.matches")).alias("m")).where("c >= m").select("u", "v")
-        second = self._verify(pairs)
-        every = self.scratch.put(first.unionByName(second), "all-links")
+        pairs = self._matched(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())
+        every = self.scratch.put(every.unionByName(self._verify(pairs)), "all-links")
         return every, self.scratch.put(components(every, self.scratch), "components")
 
     def result(self) -> DataFrame:
