@@ -85,8 +85,9 @@ def three_levels(rows: DataFrame, document: str, batch: str, target: Column, res
 
 def compression_floors(source_lang: Column, target_lang: Column) -> tuple[Column, Column]:
     """Hard and review floor of target length over source length by language pair."""
-    zh = F.lower(target_lang).startswith("zh")
-    ja_ko = F.lower(target_lang).rlike("^(?:ja|ko)")
+    latin = source_lang.isin("en", "und-Latn")
+    zh = latin & target_lang.startswith("zh")
+    ja_ko = latin & target_lang.isin("ja", "ko")
     return F.when(zh, 0.20).when(ja_ko, 0.22).otherwise(0.45), F.when(zh, 0.25).when(ja_ko, 0.27).otherwise(0.60)
 
 

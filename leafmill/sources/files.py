@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # What a corpus scan leaves out unless derived files are asked for.
-EXCLUDED_FOLDERS = (".git", ".work", "output", "history", "__pycache__")
+EXCLUDED_FOLDERS = ("中文译版", "翻译工作记录", "临时工作区", "tmp", ".git", ".venv", "venv")
 DERIVED_SUFFIXES = ("_translated", "_candidate", "_review")
 
 

@@ -1,4 +1,4 @@
-"""A streaming ledger of metric events: an extension, not a reference operator.
+"""A streaming ledger of metric events: an extension beside the batch summary.
 
 Windowed sums over an event stream with a watermark; late rows beyond it are dropped by Spark.
 """
