@@ -169,6 +169,26 @@ def test_substrings(spark, docs, none):
     assert substrings.dedup(spark, none).count() == 0
 
 
+def test_substrings_recall_on_near_passages(spark):
+    import random
+
+    rng = random.Random(11)
+    other = lambda n: [f"r{rng.getrandbits(40)}" for _ in range(n)]
+    rows, pairs = [], []
+    for i in range(200):
+        x = other(50)
+        y = list(x)
+        y[rng.randrange(4, 46)] = other(1)[0]
+        a, b = (set(zip(*(z[j:] for j in range(5)), strict=False)) for z in (x, y))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.81
+        pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(other(30) + x + other(30))), (2 * i + 1, " ".join(other(45) + y + other(20)))]
+    out = substrings.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.partner_id) for r in out}
+    assert found <= {p for a, b in pairs for p in ((a, b), (b, a))}
+    assert sum((a, b) in found and (b, a) in found for a, b in pairs) >= 0.9 * len(pairs)
+
+
 def test_html(spark):
     rows = [(1, "http://a.com/1", "<body><nav>menu</nav><article><p>One &amp; two</p></article></body>"), (2, None, None), (None, "http://a.com/2", ""), (3, "no host", "text")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
