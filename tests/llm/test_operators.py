@@ -189,6 +189,35 @@ def test_substrings_recall_on_near_passages(spark):
     assert sum((a, b) in found and (b, a) in found for a, b in pairs) >= 0.9 * len(pairs)
 
 
+def test_substrings_components_equal_brute_force(spark):
+    """Chains of texts of 50 words, each one word from the next: leaders of a list are not similar to all of it."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        words = [f"c{rng.getrandbits(40)}" for _ in range(50)]
+        for at in rng.sample(range(4, 46), 8):
+            words = [*words[:at], f"c{rng.getrandbits(40)}", *words[at + 1 :]]
+            texts.append(" ".join(words))
+    import pyarrow as pa
+
+    seqs = [s for _, s in substrings._sequences(pa.array(texts), substrings.SHINGLE)]
+    mins = [[int(substrings.K.mix(s ^ seed).min()) for seed in substrings._SEEDS[: substrings.HASHES]] for s in seqs]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            agree = sum(a == b for a, b in zip(mins[i], mins[j], strict=True))
+            if agree >= substrings.ENOUGH and len(np.intersect1d(seqs[i], seqs[j])) >= 41:  # 41 of 46: similarity 0.8
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min(k for k, x in enumerate(root) if x == r) for r in set(root)}
+    want = {i: least[r] for i, r in enumerate(root) if root.count(r) > 1}
+    out = substrings.dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in out} == want
+
+
 def test_html(spark):
     rows = [(1, "http://a.com/1", "<body><nav>menu</nav><article><p>One &amp; two</p></article></body>"), (2, None, None), (None, "http://a.com/2", ""), (3, "no host", "text")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
