@@ -218,6 +218,26 @@ def test_substrings_components_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in out} == want
 
 
+def test_substrings_finds_every_place(spark):
+    import random
+
+    rng = random.Random(7)
+    other = lambda n: [f"p{rng.getrandbits(40)}" for _ in range(n)]
+    shared, cycle = other(50), other(7)
+    places, many = [], []
+    for _ in range(15):
+        many += other(100)
+        places.append(len(many))
+        many += shared
+    texts = [many, other(60) + shared + other(60), cycle * 100, other(60) + cycle * 10 + other(60)]
+    rows = substrings.dedup(spark, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()
+    covered = {i: {p for r in rows if r.doc_id == i for p in range(r.start_word, r.start_word + r.n_words)} for i in range(4)}
+    assert covered[0] == {p + k for p in places for k in range(50)}
+    assert covered[1] == set(range(60, 110))
+    assert covered[2] == set(range(700))
+    assert covered[3] == set(range(60, 130))
+
+
 def test_html(spark):
     rows = [(1, "http://a.com/1", "<body><nav>menu</nav><article><p>One &amp; two</p></article></body>"), (2, None, None), (None, "http://a.com/2", ""), (3, "no host", "text")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
