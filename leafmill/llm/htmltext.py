@@ -6,7 +6,8 @@ one side lacks become optional groups, and texts that differ become slots; a tex
 all pages is part of the template. The wrapper's article is the element that holds most slot text outside
 navigation, notices and the like. Each page is then read by its host's wrapper.
 
-At most `PAGES` pages of a host (least hash in each of as many slots) make its wrapper; the wrapper is applied to every page.
+All pages of a host make its wrapper: each input partition aligns its own distinct pages of a host, and these templates are
+aligned with each other (copies in other partitions weigh again). The wrapper is applied to every page.
 
 Defined results: null or empty html gives the empty text; a page whose url has no host shares the wrapper of all such
 pages; a page that its wrapper does not fit is read by a wrapper of its own; rows with null or repeated ids
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.scratch import Scratch
 
-PAGES = 8
+HOSTS = 1000  # held by a task before it gives out what it has
 DEPTH = 150
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -148,7 +150,10 @@ def align(a: dict, b: dict) -> dict:
         return {"s": a["s"] if a["s"] == b["s"] else None, "n": a["n"] + b["n"], "o": a["o"] or b["o"]}
     left, right = a["c"], b["c"]
     kids: list[dict] = []
-    names = SequenceMatcher(None, [_name(x) for x in left], [_name(x) for x in right], autojunk=False)
+    mine, its = [_name(x) for x in left], [_name(x) for x in right]
+    if mine == its:
+        return a | {"m": a["m"] or b["m"], "o": a["o"] or b["o"], "c": fold([align(x, y) for x, y in zip(left, right, strict=True)])}
+    names = SequenceMatcher(None, mine, its, autojunk=False)
     for op, i, j, k, m in names.get_opcodes():
         if op == "equal":
             kids += [align(x, y) for x, y in zip(left[i:j], right[k:m], strict=True)]
@@ -167,15 +172,20 @@ def expression(t: dict) -> str:
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of a host: {"path": keys down to the article, "fixed": template texts within it}."""
+    """The wrapper of some pages."""
     pages = list(dict.fromkeys(pages))
     whole = template(parse(pages[0]))
     for page in pages[1:]:
         whole = align(whole, template(parse(page)))
+    return wrapper_of(whole, len(pages))
+
+
+def wrapper_of(whole: dict, count: int) -> dict:
+    """{"path": keys down to the article, "fixed": template texts within it} of the template of `count` distinct pages."""
 
     def mass(t: dict) -> int:
         if "s" in t:
-            return t["n"] if t["s"] is None or len(pages) < 3 else 0
+            return t["n"] if t["s"] is None or count < 3 else 0
         return 0 if t["a"] else sum(map(mass, t["c"]))
 
     def named(t: dict, path: list[str]) -> list[tuple[int, list[str]]]:
@@ -206,7 +216,7 @@ def infer(pages: list[str]) -> dict:
             return [t["s"]] if t["s"] is not None and not t["o"] else []
         return [x for c in t["c"] if not t.get("m") for x in fixed(c)]
 
-    return {"path": path, "fixed": sorted(set(fixed(node))) if len(pages) >= 3 else []}
+    return {"path": path, "fixed": sorted(set(fixed(node))) if count >= 3 else []}
 
 
 def _find(node: Node, path: list[str]) -> list[Node]:
@@ -249,9 +259,43 @@ def read(page: str | None, wrapper: dict | None) -> str:
     return "\n".join([t for t in texts if t not in fixed] or texts)
 
 
+def _templates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, html, mark) of a partition to a template for each host, with the marks of up to three distinct pages."""
+    held: dict[str, tuple[dict, set[int], int]] = {}
+
+    def out() -> pa.RecordBatch:
+        body = [zlib.compress(json.dumps(t).encode(), 1) for t, _, _ in held.values()]
+        marks = [sorted(seen)[:3] for _, seen, _ in held.values()]
+        first = [mark for _, _, mark in held.values()]
+        batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(first, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(body, pa.binary())], ["host", "first", "marks", "template"])
+        held.clear()
+        return batch
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            host, mark = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+            own = held.get(host)
+            if own is not None and mark in own[1]:
+                continue
+            page = template(parse(batch.column(1)[i].as_py()))
+            if own is None:
+                if len(held) >= HOSTS:
+                    yield out()
+                held[host] = page, {mark}, mark
+            else:
+                own[1].add(mark)
+                held[host] = align(own[0], page), own[1], own[2]
+    if held:
+        yield out()
+
+
 def _wrappers(rows: pd.DataFrame) -> pd.DataFrame:
-    pages = rows.sort_values(["slot", "html"])["html"].tolist()
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(infer(pages))]})
+    whole = None
+    for body in rows.sort_values(["first", "template"])["template"]:
+        part = json.loads(zlib.decompress(body))
+        whole = part if whole is None else align(whole, part)
+    count = len({m for marks in rows["marks"] for m in marks})  # up to three of each are enough: three make a template
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(wrapper_of(whole, count))]})
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,14 +317,11 @@ def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, n: int = PAGES) -> DataFrame:
+def wrappers(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON) of every host. pages: page_id, url, html, host."""
-    rows = pages.where(F.octet_length("html") > 0)
-    mark = F.xxhash64("page_id", "url")
-    rows = rows.withColumn("mark", mark).withColumn("slot", F.pmod(F.col("mark"), F.lit(n)).cast("int"))
-    least = rows.groupBy("host", "slot").agg(F.min("mark").alias("mark"))
-    some = rows.join(least, ["host", "slot", "mark"], "left_semi").select("host", "slot", "html").distinct()
-    return some.groupBy("host").applyInPandas(_wrappers, "host string, wrapper string")
+    rows = pages.where(F.octet_length("html") > 0).select("host", "html", F.xxhash64("html").alias("mark"))
+    parts = rows.mapInArrow(_templates, "host string, first long, marks array<long>, template binary")
+    return parts.groupBy("host").applyInPandas(_wrappers, "host string, wrapper string")
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:

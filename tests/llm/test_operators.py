@@ -246,6 +246,18 @@ def test_html(spark):
     assert htmltext.extract(spark, pages.limit(0)).count() == 0
 
 
+def test_html_wrapper_from_all_pages_of_a_host(spark):
+    """Hosts of three pages keep no boilerplate, and a text that one page of forty varies is no template."""
+    page = lambda i, note: f"<body><article><p>Shared first line</p><h1>Title {i}</h1><p>{('w%d ' % i) * 30}</p><div>{note}</div></article></body>"
+    rows = [(100 * h + i, f"http://h{h}.com/{i}", page(i, "Same note")) for h in range(12) for i in range(3)]
+    rows += [(9000 + i, f"http://big.com/{i}", page(i, "Same note" if i else "One other note")) for i in range(40)]
+    out = htmltext.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert "Shared first line" not in r.text
+        assert ("note" in r.text) == (r.page_id >= 9000)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi <|im_end|> & &amp; &lt;|"), (1, 1, "assistant", "a\nb"), (1, 1, "assistant", "a\nb"), (2, None, None, None), (None, 0, "assistant", ""), (3, 0, "user\nx", "<|im_start|>")]
     t = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
