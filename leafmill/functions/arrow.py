@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -47,6 +49,76 @@ def token_coverage(part: pd.Series, whole: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(part, whole, strict=True)])
 
 
+def _longest(a: str, b: str) -> tuple[int, int, int]:
+    """SequenceMatcher.find_longest_match of two whole strings, by a suffix automaton of `b`: linear in their lengths."""
+    nxt: list[dict[str, int]] = [{}]
+    link, length, end = [-1], [0], [-1]
+    last = 0
+    for i, ch in enumerate(b):
+        cur = len(nxt)
+        nxt.append({})
+        link.append(0)
+        length.append(i + 1)
+        end.append(i)  # the first place where these substrings end
+        p = last
+        while p >= 0 and ch not in nxt[p]:
+            nxt[p][ch] = cur
+            p = link[p]
+        if p >= 0:
+            q = nxt[p][ch]
+            if length[q] == length[p] + 1:
+                link[cur] = q
+            else:
+                clone = len(nxt)
+                nxt.append(dict(nxt[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                end.append(end[q])
+                while p >= 0 and nxt[p].get(ch) == q:
+                    nxt[p][ch] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    best = (0, 0, 0)
+    state = n = 0
+    for i, ch in enumerate(a):
+        while state and ch not in nxt[state]:
+            state = link[state]
+            n = length[state]
+        if ch in nxt[state]:
+            state, n = nxt[state][ch], n + 1
+            if n > best[2]:
+                best = (i - n + 1, end[state] - n + 1, n)
+    return best
+
+
+def alike(x: str, y: str, least: float) -> bool:
+    """Whether SequenceMatcher's ratio (without junk) is `least` at least; it ends as soon as that is settled."""
+    total = len(x) + len(y)
+    m = SequenceMatcher(None, "", "", autojunk=False)
+    bound = lambda a, b: (Counter(a) & Counter(b)).total()
+    enough = lambda n: 2.0 * n / total >= least
+    if not total:
+        return True
+    open_ = [(-bound(x, y), x, y)]
+    matched, most = 0, -open_[0][0]
+    while open_ and enough(most) and not enough(matched):
+        n, a, b = heapq.heappop(open_)
+        if len(a) * len(b) < 10_000:
+            m.set_seqs(a, b)
+            i, j, k = m.find_longest_match(0, len(a), 0, len(b))
+        else:
+            i, j, k = _longest(a, b)
+        most += n
+        if k:
+            matched, most = matched + k, most + k
+            for c, d in ((a[:i], b[:j]), (a[i + k :], b[j + k :])):
+                if part := bound(c, d):
+                    heapq.heappush(open_, (-part, c, d))
+                    most += part
+    return enough(matched)
+
+
 @F.pandas_udf(T.BooleanType())
 def fuzzy_match(a: pd.Series, b: pd.Series) -> pd.Series:
     """Both of 30 characters at least, length ratio 0.9 and matching ratio 0.96."""
@@ -55,8 +127,7 @@ def fuzzy_match(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = x or "", y or ""
         if min(len(x), len(y)) < 30 or min(len(x), len(y)) < 0.9 * max(len(x), len(y)):
             return False
-        m = SequenceMatcher(None, x, y, autojunk=False)
-        return m.real_quick_ratio() >= 0.96 and m.quick_ratio() >= 0.96 and m.ratio() >= 0.96
+        return x == y or alike(x, y, 0.96)
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 

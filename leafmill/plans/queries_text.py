@@ -207,8 +207,7 @@ def adjacent_overlap(spark, d):
 
 def fuzzy_match(spark, d):
     ship(spark)
-    p = _pairs(spark, d).where(F.char_length("a").between(30, 1500) & F.char_length("b").between(30, 1500))
-    return p.select("a_id", "b_id", A.fuzzy_match(F.col("a"), F.col("b")).alias("matches"))
+    return _pairs(spark, d).select("a_id", "b_id", A.fuzzy_match(F.col("a"), F.col("b")).alias("matches"))
 
 
 def text_keys(spark, d):

@@ -83,3 +83,42 @@ def test_keep_source(spark):
     none = F.lit(None).cast("string")
     got = df.select(gates.keep_source_ok(F.col("c"), F.col("s"), F.lit("body"), none, F.lit(False), F.array().cast("array<string>")).alias("g"), "want").collect()
     assert all(r.g == r.want for r in got), got
+
+
+def test_alike_equals_sequence_matcher():
+    import random
+    from difflib import SequenceMatcher
+
+    from leafmill.functions import arrow
+
+    rng = random.Random(3)
+    for turn in range(150):
+        x = "".join(rng.choice("abcde " if turn % 2 else "ab") for _ in range(rng.randrange(1, 500)))
+        y = list(x)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(3)] = rng.choice(["", "z", "ab"])
+        y = "".join(y)
+        m = SequenceMatcher(None, x, y, autojunk=False)
+        assert arrow._longest(x, y) == tuple(m.find_longest_match(0, len(x), 0, len(y)))
+        for least in (0.8, 0.96, m.ratio()):
+            assert arrow.alike(x, y, least) == (m.ratio() >= least)
+
+
+def test_fuzzy_match_query_gives_every_pair(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from leafmill.plans import queries_text
+
+    head = "The same beginning of every text, more than 24 characters. "
+    long = head + " ".join(f"word{i * i % 97}" for i in range(300))
+    texts = [long, long, long.replace("word4 ", "other "), head + " ".join(f"thing{i}" for i in range(250)), head[:28], long[:-200]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(queries_text, "_docs", lambda spark, d: docs)
+    got = {r.b_id: r.matches for r in queries_text.fuzzy_match(spark, "").collect()}
+
+    def want(x, y):
+        short, most = sorted((len(x), len(y)))
+        return short >= 30 and short >= 0.9 * most and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.96
+
+    assert len(long) > 1500 and got == {i: want(texts[0], texts[i]) for i in range(1, 6)}
