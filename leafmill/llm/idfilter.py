@@ -38,13 +38,19 @@ def high_bits(spark: SparkSession, hashes: DataFrame, bits: int):
     return spark.sparkContext.broadcast(bitmap.tobytes())
 
 
-def thin(spark: SparkSession, df: DataFrame, col: str, wanted: DataFrame, bits: int = BITS) -> DataFrame:
-    """Rows of `df` whose `col` may be among the values of the one column of `wanted`."""
+def slots(spark: SparkSession, wanted: DataFrame, bits: int = BITS):
+    """A function from a column to its slot, and the broadcast bitmap of the slots of the one column of `wanted`."""
     slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << bits))
     s = wanted.select(slot(F.col(wanted.columns[0])).alias("s"))
     words = s.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
     bitmap = np.zeros(1 << (bits - 6), np.uint64)
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.int64).view(np.uint64)
+    return slot, spark.sparkContext.broadcast(bitmap.tobytes())
+
+
+def thin(spark: SparkSession, df: DataFrame, col: str, wanted: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows of `df` whose `col` may be among the values of the one column of `wanted`."""
+    slot, bitmap = slots(spark, wanted, bits)
     rows = df.withColumn("_slot", slot(F.col(col)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return rows.mapInArrow(_thinned(spark.sparkContext.broadcast(bitmap.tobytes()), len(df.columns)), schema)
+    return rows.mapInArrow(_thinned(bitmap, len(df.columns)), schema)

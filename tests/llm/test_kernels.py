@@ -93,7 +93,10 @@ def test_compact_windows_cover_every_passage():
     for n in (5, 8, 30, 61):
         v = K.mix(rng.integers(0, 12, n).astype(np.uint64))  # with ties
         for t in (3, 5):
-            got = substrings.compact_windows(v, t)
+            seg = substrings.Segments([0], [0], [v])
+            at = seg.centres(v, t)
+            left, right = substrings.compact_windows(v, at, np.zeros(len(at), np.int64), np.full(len(at), n - 1))
+            got = list(zip(left, at, right, strict=True))
             key = (v >> np.uint64(substrings._POS) << np.uint64(substrings._POS)) | np.arange(n, dtype=np.uint64)
             for i in range(n - t + 1):
                 for j in range(i + t - 1, n):
@@ -111,8 +114,8 @@ def test_overlaps_equal_brute_force():
             b = a + rng.randint(0, 8)
             rows.append((f, rng.getrandbits(60), a + 1, a, b))
             at = b + 1
-    cols = [np.array(x) for x in zip(*rows)]
-    got = {(int(k), int(p)) for keys, _, first, last in substrings.overlaps(*cols, 2) for k, a, b in zip(keys, first, last) for p in range(a, b + 1)}
+    by = {f: tuple(np.array(x, np.uint64 if i == 0 else np.int64) for i, x in enumerate(zip(*(r[1:] for r in rows if r[0] == f)))) for f in range(3)}
+    got = {(int(k), int(p)) for keys, _, first, last in substrings.overlaps(by, 2) for k, a, b in zip(keys, first, last) for p in range(a, b + 1)}
     want = 0
     for i in range(0, n + 20):
         have = sum(1 for r in rows if r[3] <= i <= r[4])
@@ -120,6 +123,40 @@ def test_overlaps_equal_brute_force():
     assert len(got) == want
 
 
+def test_segments_keep_texts_apart():
+    rng = np.random.default_rng(8)
+    parts = [K.mix(rng.integers(0, 40, n).astype(np.uint64)) for n in (7, 4, 12, 5)]
+    t = 4
+    seg = substrings.Segments([0, 1, 2, 3], [0] * 4, parts)
+    at = seg.centres(seg.seq, t).tolist()
+    alone = [substrings.Segments([0], [0], [p]).centres(p, t) + seg.at[i] for i, p in enumerate(parts)]
+    assert at == np.concatenate(alone).tolist()
+
+
+def test_similar_windows_equal_brute_force():
+    rng = np.random.default_rng(2)
+    t = 6
+    for _ in range(60):
+        n = int(rng.integers(6, 40))
+        x = rng.integers(0, 9, n).astype(np.uint64)
+        y = np.where(rng.random(n) < 0.7, x, rng.integers(0, 9, n).astype(np.uint64))
+        got = substrings.similar(x, y, np.arange(n), n, t, 0.8)[: n - t + 1]
+        sets = [(set(x[i : i + t].tolist()), set(y[i : i + t].tolist())) for i in range(n - t + 1)]
+        assert got.tolist() == [10 * len(a & b) >= 8 * len(a | b) for a, b in sets]
+        rate, ok = substrings.against(x, y[:t], t, 0.8)
+        fixed = sets[0][1]
+        assert np.allclose(rate, [len(a & fixed) / len(a | fixed) for a, _ in sets])
+        assert ok.tolist() == [10 * len(a & fixed) >= 8 * len(a | fixed) for a, _ in sets]
+
+
+def test_leaders_compare_all_documents_of_a_list():
+    key, doc = np.array([5, 5, 5, 5, 7, 7, 9]), np.array([4, 3, 3, 8, 1, 1, 2])
+    c = np.array([10, 20, 30, 40, 1, 2, 3])
+    order, lead, partner = substrings.led(key, doc, c, c)
+    got = {(int(doc[order][i]), int(c[order][i]), int(doc[order][p]) if p >= 0 else None) for i, p in enumerate(partner)}
+    assert got == {(3, 20, None), (3, 30, 4), (4, 10, 3), (8, 40, 3), (1, 1, None), (1, 2, None), (2, 3, None)}
+
+
 def test_prefixes_lose_no_pair():
     rng = random.Random(5)
     for _ in range(300):

@@ -204,7 +204,7 @@ def test_substrings_components_equal_brute_force(spark):
             texts.append(" ".join(words))
     import pyarrow as pa
 
-    seqs = [s for _, s in substrings._sequences(pa.array(texts), substrings.SHINGLE)]
+    seqs = [s for _, s in substrings.sequences(pa.array(texts), substrings.SHINGLE)]
     mins = [[int(substrings.K.mix(s ^ seed).min()) for seed in substrings._SEEDS[: substrings.HASHES]] for s in seqs]
     root = list(range(len(texts)))
     for i in range(len(texts)):
@@ -218,6 +218,19 @@ def test_substrings_components_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in out} == want
 
 
+def test_substrings_leaves_unlike_texts_alone(spark):
+    """One shingle many times, the same words in another order, and a shared line shorter than a passage."""
+    import random
+
+    rng = random.Random(3)
+    other = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    five, words, line = other(5), other(120), other(40)
+    mixed = words[:]
+    rng.shuffle(mixed)
+    texts = [other(50) + five + other(50), five * 100, words, mixed, *(other(60) + line + other(60) for _ in range(6))]
+    assert substrings.dedup(spark, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).count() == 0
+
+
 def test_substrings_finds_every_place(spark):
     import random
 
