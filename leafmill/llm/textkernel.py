@@ -19,6 +19,9 @@ WS = np.zeros(256, bool)
 WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_WORD = ~WS
+_CODE = np.arange(1, 257, dtype=np.uint64)
+_LOWER_CODE = LOWER.astype(np.uint64) + _U(1)
 _P = 0x9E3779B97F4A7C15 | 1
 
 
@@ -61,23 +64,21 @@ def texts(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def _block(raw: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of one block; cuts: positions where a text begins, ascending."""
     n = len(raw)
-    word = ~WS[raw]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = word[:-1]
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = word[1:]
+    word = np.take(_WORD, raw)
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if n and word[0]:
+        edge = np.concatenate(([0], edge))
+    if n and word[-1]:
+        edge = np.concatenate((edge, [n]))
+    starts, ends = edge[0::2], edge[1::2]
     inner = cuts[(cuts > 0) & (cuts < n)]
-    before[inner] = False
-    after[inner - 1] = False
-    starts = np.flatnonzero(word & ~before)
-    ends = np.flatnonzero(word & ~after) + 1
+    inner = np.unique(inner[word[inner - 1] & word[inner]])  # one text ends with a word, and the next begins with one
+    if len(inner):
+        starts, ends = np.insert(starts, np.searchsorted(starts, inner), inner), np.insert(ends, np.searchsorted(ends, inner), inner)
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
     up, down = _powers(BLOCK) if n <= BLOCK else _powers(1 << (n - 1).bit_length())
-    code = (LOWER[raw] if lower else raw).astype(np.uint64)
-    code += _U(1)
+    code = np.take(_LOWER_CODE if lower else _CODE, raw)
     code *= up[:n]
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
@@ -86,6 +87,17 @@ def _block(raw: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray,
     return starts, ends, mix(h)
 
 
+def _last_space(raw: np.ndarray, lo: int, hi: int, step: int = 256) -> int:
+    """Where the last white space of a range ends; `lo` if it has none."""
+    while hi > lo:
+        at = max(lo, hi - step)
+        ws = np.flatnonzero(WS[raw[at:hi]])
+        if len(ws):
+            return at + int(ws[-1]) + 1
+        hi, step = at, 4 * step
+    return lo
+
+
 def words(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of all words, and n + 1 word offsets by text."""
     starts, ends, hashes = [], [], []
@@ -93,9 +105,7 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.nda
     while lo < n:
         hi = min(n, lo + BLOCK)
         if hi < n:  # cut after the last white space or at the last text start within the block
-            ws = np.flatnonzero(WS[raw[lo:hi]])
-            cut = off[np.searchsorted(off, hi, "right") - 1]
-            best = max(lo + int(ws[-1]) + 1 if len(ws) else lo, int(cut))
+            best = max(_last_space(raw, lo, hi), int(off[np.searchsorted(off, hi, "right") - 1]))
             while best <= lo:  # one word longer than a block
                 hi = min(n, hi + BLOCK)
                 ws = np.flatnonzero(WS[raw[lo:hi]])

@@ -143,6 +143,15 @@ def test_similar_windows_equal_brute_force():
         got = substrings.similar(x, y, np.arange(n), n, t, 0.8)[: n - t + 1]
         sets = [(set(x[i : i + t].tolist()), set(y[i : i + t].tolist())) for i in range(n - t + 1)]
         assert got.tolist() == [10 * len(a & b) >= 8 * len(a | b) for a, b in sets]
+        z = np.unique(rng.integers(0, 1 << 40, n)).astype(np.uint64)
+        rng.shuffle(z)
+        w = np.roll(z, int(rng.integers(-2, 3)))
+        w[rng.random(len(w)) < 0.1] = 1
+        if len(z) >= t and not substrings.repeats(w, t)[-1]:
+            pos = np.arange(len(z))
+            plain, mx, my = substrings.similar_plain(z, w, pos, len(z), t, 0.6)
+            assert (plain == substrings.similar(z, w, pos, len(z), t, 0.6))[: len(z) - t + 1].all()
+            assert [a.tolist() for a in (mx, my)] == [a.tolist() for a in substrings._matched(z, w, pos, t)]
         rate, ok = substrings.against(x, y[:t], t, 0.8)
         fixed = sets[0][1]
         assert np.allclose(rate, [len(a & fixed) / len(a | fixed) for a, _ in sets])
