@@ -2,11 +2,11 @@
 
 The merge table is compiled into a transducer over bytes. A text prefix has exactly one BPE encoding, and
 that encoding without its last token is the encoding of the shorter prefix; so after each byte the machine
-needs only, for each recent position, the last token of the prefix that ends there. A thread is
-(trie node of the bytes since its position, that last token, tokens not yet output). A set of threads is a
-state of the determinised machine; states and transitions are built when first met. What all threads
-agree on is output: lookahead is bounded by the longest token. Whether two tokens may stand side by side
-is decided by merging their bytes.
+needs only the tokens that may end here or later, and the last token of each recent prefix. A thread is the trie node of the
+bytes since a recent position. The set of all threads is a state of the determinised machine, named by its longest thread (the others are
+suffixes of it); states, transitions and the tokens that end there are built when first met. The token that ends a prefix is the one
+that may stand beside the last token of the prefix before it, which is decided by merging their bytes. Tokens are output as soon as the
+encodings through all threads agree on them, at the end or after `LOOKAHEAD` more bytes.
 
 Each match of the split pattern is encoded separately; results for white-space separated pieces are
 memorised in a table of bounded size, which changes no result.
@@ -25,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 300_000
-STATES = 100_000
+MEMO = 150_000  # pieces remembered by a worker, of at most `PIECE` characters each
+PIECE = 64
+STATES = 200_000  # transitions, and decided pairs of tokens, kept by a worker
+LOOKAHEAD = 1024
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,8 +44,9 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # by 256 * node + byte
-        self.token_at = [-1]
+        self.token_at, self.depth, self.above, self.byte = [-1], [0], [0], [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -50,20 +54,22 @@ class Transducer:
                 if nxt is None:
                     nxt = self.child[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.above.append(node)
+                    self.byte.append(byte)
                 node = nxt
             self.token_at[node] = rank
-        self.deeper = [False] * len(self.token_at)
+        self.deeper = bytearray(len(self.token_at))
         for key in self.child:
-            self.deeper[key >> 8] = True
-        self.beside: dict[tuple[int, int], bool] = {}
+            self.deeper[key >> 8] = 1
         self.made: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        first = ((0, -1, ()),)
-        self.index = {first: 0}
-        self.states = [first]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.shorter: dict[int, int] = {}
+        self.ending: dict[int, tuple[int, ...]] = {0: ()}
+        self.beside: dict[int, bool] = {}
 
     def merged(self, data: bytes, down_to: int = 1) -> list[int]:
         """BPE of a short string by its definition: join the pair of least rank, leftmost first."""
@@ -89,11 +95,6 @@ class Transducer:
         neighbours of each moment must have no merge that comes before the next one of either side; of equal
         ranks the left one comes first.
         """
-        ok = self.beside.get((a, b))
-        if ok is not None:
-            return ok
-        if len(self.beside) > 4 * STATES:
-            self.beside.clear()
         left, right, until, ranks, tokens = a, b, 1 << 60, self.ranks, self.tokens
         while True:
             joined = ranks.get(tokens[left] + tokens[right])
@@ -108,53 +109,92 @@ class Transducer:
             else:
                 ok = True
                 break
-        self.beside[a, b] = ok
+        self.beside[a << 32 | b] = ok
         return ok
 
+    def next_shorter(self, node: int) -> int:
+        """The longest thread that is a proper suffix of this one."""
+        if self.depth[node] < 2:
+            return 0
+        found = self.shorter.get(node)
+        if found is None:
+            found = self.shorter[node] = self.step(self.next_shorter(self.above[node]), self.byte[node])
+        return found
+
+    def step(self, node: int, byte: int) -> int:
+        while True:
+            nxt = self.child.get(node << 8 | byte)
+            if nxt is not None:
+                return nxt
+            if not node:
+                return 0
+            node = self.next_shorter(node)
+
+    def endings(self, node: int) -> tuple[int, ...]:
+        """Tokens that end with this state, the longest first."""
+        found = self.ending.get(node)
+        if found is None:
+            token = self.token_at[node]
+            found = self.ending[node] = (*((token,) if token >= 0 else ()), *self.endings(self.next_shorter(node)))
+        return found
+
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        threads, new, child, token_at, deeper = [], None, self.child, self.token_at, self.deeper
-        for node, last, pending in self.states[state]:
-            node = child.get(node << 8 | byte, -1)
-            if node < 0:
-                continue
-            if deeper[node]:
-                threads.append((node, last, pending))
-            token = token_at[node]
-            if new is None and token >= 0 and (last < 0 or self.may_follow(last, token)):
-                new = (0, token, (*pending, token))  # the only one: a prefix has one encoding
-        threads.append(new)
-        out: tuple[int, ...] = ()
-        if not threads[1:]:
-            out, threads = new[2], [(0, new[1], ())]
-        elif threads[0][2] and all(t[2] and t[2][0] == new[2][0] for t in threads):
-            common, shortest = 1, min((t[2] for t in threads), key=len)
-            while common < len(shortest) and all(t[2][common] == shortest[common] for t in threads):
-                common += 1
-            out = shortest[:common]
-            threads = [(node, last, pending[common:]) for node, last, pending in threads]
-        key = tuple(threads)
-        nxt = self.index.get(key)
-        if nxt is None:
-            nxt = self.index[key] = len(self.states)
-            self.states.append(key)
-        step = self.moves[state << 8 | byte] = nxt, out
-        return step
+        """The next state and the tokens that end there."""
+        nxt = self.step(state, byte)
+        move = self.moves[state << 8 | byte] = nxt, self.endings(nxt)
+        return move
+
+    def back(self, ends: list[int], at: int) -> list[int]:
+        """Tokens of the encoding that ends at a position; ends: the last token at each."""
+        out, size = [], self.size
+        while at > 0:
+            token = ends[at - 1]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
+        return out
+
+    def agreed(self, state: int, ends: list[int]) -> int:
+        """The last position through which the encodings of all threads go."""
+        at = {len(ends)}
+        while state:
+            if self.deeper[state]:
+                at.add(len(ends) - self.depth[state])
+            state = self.next_shorter(state)
+        while len(at) > 1:
+            last = max(at)
+            at.remove(last)
+            at.add(last - self.size[ends[last - 1]])
+        return at.pop()
 
     def run(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
+        if len(self.moves) > STATES or len(self.beside) > STATES:
             self.reset()
-        state, out, moves = 0, [], self.moves
-        for byte in data:
-            step = moves.get(state << 8 | byte) or self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
-        for node, _, pending in self.states[state]:
-            if node == 0:
-                out.extend(pending)
+        state, moves, size, beside, out, ends, at, prior = 0, self.moves, self.size, self.beside, [], [], 0, -1
+        for lo in range(0, len(data), LOOKAHEAD):
+            for byte in data[lo : lo + LOOKAHEAD]:
+                state, tokens = moves.get(state << 8 | byte) or self.move(state, byte)
+                at += 1
+                for token in tokens:
+                    before = at - size[token]
+                    last = ends[before - 1] if before else prior
+                    if last < 0:
+                        break
+                    ok = beside.get(last << 32 | token)
+                    if ok is None:
+                        ok = self.may_follow(last, token)
+                    if ok:
+                        break
+                ends.append(token)
+            cut = at if lo + LOOKAHEAD >= len(data) else self.agreed(state, ends)
+            out += self.back(ends, cut)
+            if cut:
+                prior = ends[cut - 1]
+                del ends[:cut]
+                at -= cut
         return out
 
 
@@ -170,7 +210,8 @@ class _Memo(dict):
             if not piece or piece[0].isspace() or piece[-1].isspace():
                 return None
             out = self.encode(self.lead + piece)
-        self[piece] = out
+        if len(piece) <= PIECE:
+            self[piece] = out
         return out
 
     def age(self) -> None:
@@ -192,7 +233,7 @@ class Codec:
 
     def _span(self, span: str) -> bytes:
         ids = self.fst.run(span.encode("utf-8"))
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def _spans(self, text: str) -> bytes:
         found = self.find(text)

@@ -34,7 +34,7 @@ from leafmill.llm.idfilter import thin
 from leafmill.llm.scratch import Scratch
 
 _U = np.uint64
-CHUNK = 1 << 22  # shingles counted together; those seen once in a chunk are not frequent there
+CHUNK = 1 << 21  # shingles counted together; those seen once in a chunk are not frequent there
 HEAVY = 1 << 19
 MOST_MATCHES = 3
 STARS = 1

@@ -3,7 +3,7 @@
 A text's UTF-8 bytes are cut into windows; in each, one gated recurrent layer reads forwards and one backwards, and a
 softmax over both states labels every byte with a language. A document's probabilities are the mean over
 all its bytes. The network is trained with numpy by backpropagation through time (Adam) on a sample of at
-most `SAMPLE` documents of each language, those with the least hashes of their ids among the rows that may be learned from.
+most `SAMPLE` documents of each language (`SAMPLE_CHARS` characters of each), those with the least hashes of their ids among the rows that may be learned from.
 
 Gates use x / (1 + |x|), moved to (0, 1), instead of exponentials: a byte costs a few additions, and the same function is
 used in training.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import textkernel as K
 
-SAMPLE = 150
+SAMPLE = 150  # documents of a language
+SAMPLE_CHARS = 1 << 16  # of each of them that the network learns from; every text is labelled as a whole
 WINDOW = 64
 HIDDEN = 8
 STEPS = 220
@@ -132,16 +133,31 @@ class Network:
         return {"in" + side: d_table.T, "rec" + side: d_rec, "out" + side: d_out}
 
 
-def cut(raw: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all texts as (window, rows) bytes, the text of each and the bytes it holds."""
+def cuts(off: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, text and size of every window of all texts."""
     n = np.diff(off)
     count = -(-n // window)
     text = np.repeat(np.arange(len(n)), count)
     first = np.cumsum(count) - count
     start = off[text] + (np.arange(len(text)) - first[text]) * window
-    size = np.minimum(window, off[text + 1] - start)
+    return start, text, np.minimum(window, off[text + 1] - start)
+
+
+def filled(raw: np.ndarray, start: np.ndarray, size: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """(window, rows) bytes; zero beyond a window's size."""
+    if not len(start):
+        return np.zeros((window, 0), np.uint8)
     at = start[None, :] + np.arange(window)[:, None]
-    return np.where(np.arange(window)[:, None] < size, raw[np.minimum(at, max(0, len(raw) - 1))] if len(raw) else 0, 0).astype(np.uint8), text, size
+    out = raw[np.minimum(at, len(raw) - 1, out=at)]
+    short = np.flatnonzero(size < window)
+    out[:, short] *= (np.arange(window)[:, None] < size[short]).astype(np.uint8)
+    return out
+
+
+def cut(raw: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all texts as (window, rows) bytes, the text of each and the bytes it holds."""
+    start, text, size = cuts(off, window)
+    return filled(raw, start, size, window), text, size
 
 
 def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7) -> tuple[Network, list[str]]:
@@ -172,19 +188,16 @@ def label(net: Network, langs: list[str], array: pa.Array, rows: int = 2048) ->
     raw, off = K.texts(array)
     total = np.zeros((len(array), len(langs)))
     for lo, hi in K.parts(raw, off, 1 << 22):
-        a = off[lo:hi + 1] - off[lo]
-        block = raw[off[lo] : off[hi]]
-        for s in range(0, len(block), 1 << 23):  # a text may be longer than what is cut at once
-            e = min(len(block), s + (1 << 23))
-            x, text, size = cut(block[s:e], np.clip(a, s, e) - s)
-            for k in range(0, x.shape[1], rows):
-                p = net.probabilities(np.ascontiguousarray(x[:, k : k + rows]))
-                if (short := size[k : k + rows] < WINDOW).any():
-                    p[:, :, short] *= (np.arange(WINDOW)[:, None] < size[k : k + rows][short])[:, None, :]
-                np.add.at(total, lo + text[k : k + rows], p.sum(0).T)
+        start, text, size = cuts(off[lo : hi + 1])
+        for k in range(0, len(start), rows):
+            own = slice(k, k + rows)
+            p = net.probabilities(filled(raw, start[own], size[own]))
+            if (short := size[own] < WINDOW).any():
+                p[:, :, short] *= (np.arange(WINDOW)[:, None] < size[own][short])[:, None, :]
+            np.add.at(total, lo + text[own], p.sum(0).T)
     total /= np.maximum(1, np.diff(off))[:, None]
     best = total.argmax(1)
-    letters = np.array([x is not None and any(map(str.isalpha, x)) for x in (v.as_py() for v in array)], bool)
+    letters = np.array([v.is_valid and any(map(str.isalpha, v.as_py())) for v in array], bool)
     score = np.where(letters, total[np.arange(len(best)), best], 0.0).clip(0, 1)
     return [langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], score
 
@@ -216,7 +229,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for lang in sorted(langs):
         ids = rows.where(F.col(lang_col) == lang).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample)
         chosen = [r[0] for r in ids.collect()]
-        for r in rows.where(F.col(id_col).isin(chosen) & (F.col(lang_col) == lang)).select(id_col, text_col).orderBy(id_col, text_col).limit(sample).collect():
+        for r in rows.where(F.col(id_col).isin(chosen) & (F.col(lang_col) == lang)).select(id_col, F.substring(text_col, 1, SAMPLE_CHARS).alias(text_col)).orderBy(id_col, text_col).limit(sample).collect():
             texts.append(r[1])
             labels.append(lang)
     return train(texts, labels) if texts else (None, [])
