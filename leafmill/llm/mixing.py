@@ -108,15 +108,21 @@ def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mix itself: each document as many times as the plan takes it, with its columns.
 
-    A row's plan is found by (id, source, size), under which rows are interchangeable except for equal keys with
-    different copies; those get the least number.
+    A row's plan is found by (id, source, size). Rows that share all three are interchangeable: together they get as many
+    copies as the plan gives them; if it does not give each the same, those first by a hash of their text get one more.
     """
-    copies = plan(spark, docs).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("_copies"))
+    own = plan(spark, docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all"), F.count("*").alias("n"))
+    each = F.floor(F.col("all") / F.col("n")).cast("int")
+    copies = own.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), each.alias("_copies"), (F.col("all") - each * F.col("n")).alias("_more"))
+    copies = Scratch(spark, "mix").put(copies.where("_copies > 0 or _more > 0"), "copies")
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    p = copies.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies")
     on = docs["doc_id"].eqNullSafe(F.col("_i")) & docs["source"].eqNullSafe(F.col("_s")) & (size == F.col("_z"))
-    out = docs.join(p, on).where("_copies > 0")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    out = docs.join(copies, on)
+    if not copies.where("_more > 0").isEmpty():  # at most a few runs of equal rows, at the end of the budget
+        nth = F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64("text")))
+        uneven = docs.join(copies.where("_more > 0"), on).withColumn("_copies", F.col("_copies") + (nth <= F.col("_more")).cast("int"))
+        out = docs.join(copies.where("_more = 0"), on).unionByName(uneven)
+    return out.where("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 ORACLE = r"""

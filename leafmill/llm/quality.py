@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from leafmill.llm import textkernel as K
 
 SAMPLE = 512
+SAMPLE_CHARS = 1 << 16  # of each sampled text, to time the rules on
 WINDOW = 5
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 _SYMBOL = np.zeros(256, bool)
@@ -30,7 +31,9 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-_LETTER[0xC3:] = True  # lead bytes of letters beyond ASCII, and of other signs
+# lead bytes of letters beyond ASCII: Latin to Arabic scripts, other scripts up to 0xED but not 0xE2 (signs, arrows, dashes); 0xF0 (emoji) is none
+_LETTER[0xC3:0xEE] = True
+_LETTER[0xE2] = False
 _LOUD = np.zeros(256, bool)
 _LOUD[list(b"!?")] = True
 _TAIL = np.zeros(256, bool)
@@ -175,8 +178,9 @@ def _judged(order: list[str]):
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """A row for each document: its base columns and verdict."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text").toArrow()
-    return docs.mapInArrow(_judged(plan(some.column("text").to_pylist())), SCHEMA)
+    ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    some = docs.where(F.col("doc_id").isin(ids)).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("doc_id", "text").limit(sample)
+    return docs.mapInArrow(_judged(plan([r.text for r in some.collect()])), SCHEMA)
 
 
 ORACLE = None

@@ -101,6 +101,15 @@ def test_mixing(spark, docs, none):
     assert mixed.columns == docs.columns
 
 
+def test_mixing_takes_what_the_plan_takes_of_repeated_rows(spark):
+    """Rows that repeat an id and size: the mix has as many words of each source as the plan."""
+    rows = [(1, "one two three", "a")] * 7 + [(2, "four five six", "a")] * 4 + [(3 + i, "x y z w", "b") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.source: r.t for r in mixing.plan(spark, docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    got = {r.source: r.t for r in mixing.mix(spark, docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("t")).collect()}
+    assert {k: v for k, v in taken.items() if v} == got
+
+
 def test_bpe(spark, docs, none):
     import public_tokenizers as P
 
