@@ -111,7 +111,7 @@ def sentence_retention(spark, d):
 
 def review_flags(spark, d):
     flags = X.review_flags(F.col("text"))
-    return _docs(spark, d).where("lang = 'en'").select("doc_id", F.array_join(flags, ",").alias("flags"))
+    return _docs(spark, d).select("doc_id", F.array_join(flags, ",").alias("flags"))
 
 
 def repeated_lines(spark, d):
@@ -129,7 +129,7 @@ def weighted_mode(spark, d):
 
 
 def vocabulary(spark, d):
-    return corpus.vocabulary(_docs(spark, d)).where("n >= 20")
+    return corpus.vocabulary(_docs(spark, d))
 
 
 def context_window(spark, d):
@@ -155,7 +155,7 @@ def contains_join(spark, d):
 def anchor_overlap(spark, d):
     words = lambda c: F.explode(X.region_anchors(F.col(c)))
     items = table(spark, d, "benchmark").select("item_id", words("text").alias("anchor"))
-    docs = _docs(spark, d).where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)))).alias("anchor"))
+    docs = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)))).alias("anchor"))
     return binding.anchor_pages(items, docs, "item_id", "doc_id", 2).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_hits").alias("n_hits"))
 
 
@@ -277,14 +277,14 @@ ORACLES = {
         CASE WHEN regexp_matches(text, '(?i)\b(?:abstract|results?|discussion|limitations?|conclusions?)\b') THEN 'high-risk-section' END,
         CASE WHEN regexp_matches(text, '(?i)(?:\b(?:sample|participant|respondent|subjects?|patients?|mean|median|regression|anova)\b|\d+(?:\.\d+)?\s*%)') THEN 'statistics' END,
         CASE WHEN regexp_matches(text, '(?i)\b(?:scale|questionnaire|inventory|instrument|measure|item|subscale|likert|reliability|validity)\b') THEN 'instrument' END], lambda x: x IS NOT NULL), ',') AS flags
-        FROM documents WHERE lang = 'en'""",
+        FROM documents""",
     "repeated_lines": """WITH l AS (SELECT source, doc_id, left(regexp_replace(lower(trim(unnest(string_split(text, chr(10))))), '[0-9]+', '#', 'g'), 180) AS key FROM documents)
         SELECT source, key, count(DISTINCT doc_id) AS n_hits FROM l WHERE length(key) >= 8 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2""",
     "running_values": """WITH w AS (SELECT lang, doc_id, unnest(list_distinct(regexp_split_to_array(text, '[ \\n]+'))) AS word FROM documents), t AS (SELECT lang, count(DISTINCT doc_id) AS n FROM w WHERE word <> '' GROUP BY 1)
         SELECT w.lang, word, count(DISTINCT doc_id) AS n_hits FROM w JOIN t USING (lang) WHERE word <> '' GROUP BY w.lang, word, n HAVING count(DISTINCT doc_id) >= greatest(4, ceil(0.6 * n))""",
     "weighted_mode": """WITH s AS (SELECT source, lang, sum(n_chars)::BIGINT AS weight FROM documents GROUP BY 1, 2) SELECT source, lang, weight FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight DESC, lang) = 1""",
     "vocabulary": r"""WITH v AS (SELECT regexp_replace(regexp_replace(text, '(?i)https?://[^\s<>"'']+', ' ', 'g'), '\p{L}+-\s*\n\s*\p{L}+', ' ', 'g') AS t FROM documents), w AS (SELECT unnest(regexp_extract_all(lower(t), '\p{L}[\p{L}''-]*')) AS word FROM v)
-        SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 20""",
+        SELECT word, count(*) AS n FROM w GROUP BY word""",
     "context_window": """SELECT conv_id, turn, concat_ws(chr(10), right(lag(text, 2) OVER w, 320), right(lag(text, 1) OVER w, 320)) AS before, concat_ws(chr(10), left(lead(text, 1) OVER w, 320), left(lead(text, 2) OVER w, 320)) AS after
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "batch_assignment": "SELECT conv_id, turn, ntile(5) OVER (PARTITION BY conv_id ORDER BY turn) AS worker FROM conversations",
@@ -297,7 +297,7 @@ ORACLES = {
         SELECT item_id, doc_id, count(DISTINCT probe) AS n_probes FROM q2 JOIN d ON contains(d.t, probe) GROUP BY 1, 2""",
     "anchor_overlap": r"""WITH i AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]{2,}') AS x FROM benchmark), i1 AS (SELECT item_id, unnest(x) AS anchor, unnest(range(len(x))) AS pos FROM i),
         i2 AS (SELECT item_id, anchor, min(pos) AS pos FROM i1 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY min(pos)) <= 12),
-        a AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}]{2,}'))) AS anchor FROM documents WHERE lang = 'en'),
+        a AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}]{2,}'))) AS anchor FROM documents),
         h AS (SELECT item_id, doc_id, count(*) AS n FROM i2 JOIN a USING (anchor) GROUP BY 1, 2), m AS (SELECT item_id, max(n) AS n FROM h GROUP BY 1)
         SELECT item_id, count(*) AS n_docs, max(n) AS n_hits FROM h JOIN m USING (item_id, n) WHERE n >= 2 GROUP BY item_id""",
     "term_check": f"""WITH {_PAIRS_SQL}, t(source, target, variants, cs) AS (VALUES ('the', 'the', ['The'], false), ('Nicht', 'nicht', []::VARCHAR[], true), ('pour', 'dans', ['que'], false), ('para', 'por', []::VARCHAR[], false))
