@@ -98,6 +98,9 @@ def bind_scored(units: DataFrame, blocks: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.unit_id").alias("unit_id")).agg(F.max_by(F.col("b.block_id"), F.struct(score.alias("s"), (-F.col("b.ord")).alias("o"))).alias("block_id"))
 
 
+SMALL = 200_000  # probes of up to `size` characters that are sent to every executor
+
+
 def contains_probes(items: DataFrame, pages: DataFrame, item_id: str, page_id: str, size: int = 24, most: int = 6) -> DataFrame:
     """Pages that contain a probe of an item: n_probes hit by (item, page).
 
@@ -105,12 +108,14 @@ def contains_probes(items: DataFrame, pages: DataFrame, item_id: str, page_id: s
     by key, never a product of items and pages. Shorter items are one probe and meet pages by their own length.
     """
     probe = items.select(item_id, F.explode(F.array_distinct(X.probes(F.col("text"), size, most))).alias("probe")).where("probe <> ''")
-    lengths = [r[0] for r in probe.select(F.char_length("probe")).distinct().collect()]  # at most `size` lengths
-    piece = 1000
+    lengths = probe.groupBy(F.char_length("probe").alias("n")).count().collect()  # at most `size` lengths
+    piece = 80  # a substring is found by counting characters from the start
     v = pages.select(page_id, X.probe_text(F.col("text")).alias("v"))
     out = None
-    for n in lengths:
+    for n, count in lengths:
         wanted = probe.where(F.char_length("probe") == n)
+        if count <= SMALL:  # pages' windows then need no shuffle
+            wanted = F.broadcast(wanted)
         starts = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("v") - n, F.lit(0)) / piece)))
         cut = v.select(page_id, "v", starts.alias("p")).select(page_id, F.substr("v", (F.col("p") * piece + 1).cast("int"), F.lit(piece + n - 1)).alias("v"))
         spots = F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("v") - n + 1, F.lit(1))))
