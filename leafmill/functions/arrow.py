@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ZERO = re.compile("[​‌‍⁠﻿]")
-_MARKS = re.compile(r"[^\w\s]|_")
+# What a comparison drops anywhere, and at both ends.
+_ZERO = re.compile("[\u200b\u2060\u00ad\ufeff]")
+_ENDS = " .,;:!?\"'()[]{}“”‘’·—–-"
 _SPACE = re.compile(r"\s+")
 
 
@@ -24,15 +25,71 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def comparison_text(s: pd.Series) -> pd.Series:
-    """NFKC, zero-width dropped, punctuation dropped, white space collapsed, case folded."""
+    """NFKC, zero-width characters and soft hyphens dropped, white space collapsed, punctuation dropped at both ends, case folded."""
 
     def one(x: str | None) -> str:
         x = _ZERO.sub("", unicodedata.normalize("NFKC", x or ""))
-        return _SPACE.sub(" ", _MARKS.sub(" ", x)).strip().casefold()
+        return _SPACE.sub(" ", x).strip().strip(_ENDS).casefold()
 
     return s.map(one)
 
 
+def content_letters(x: str | None) -> str:
+    """Letters and numbers of the NFKD form, without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", x or "") if unicodedata.category(c)[0] in "LN" and not unicodedata.combining(c))
+
+
+def seam(a: str, b: str, least: int) -> int:
+    """Length of the longest end of `a` that begins `b`, 0 below `least`: linear in their lengths, by the prefix function of `b`."""
+    n = min(len(a), len(b))
+    if n < least:
+        return 0
+    tail = a[len(a) - n :]
+    at = tail.find(b[:least])
+    if at < 0:
+        return 0
+    tail, head = tail[at:], b[: n - at]
+    border, k = [0] * len(head), 0
+    for i in range(1, len(head)):
+        while k and head[i] != head[k]:
+            k = border[k - 1]
+        k += head[i] == head[k]
+        border[i] = k
+    k = 0
+    for ch in tail:
+        if k == len(head):
+            k = border[k - 1]
+        while k and ch != head[k]:
+            k = border[k - 1]
+        k += ch == head[k]
+    return k if k >= least else 0
+
+
+@F.pandas_udf(T.IntegerType())
+def overlap_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest suffix of `a`, of 12 characters at least, that is a prefix of `b`; else 0."""
+    return pd.Series([seam(x or "", y or "", 12) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def repeated_seam(target: pd.Series, following: pd.Series, source: pd.Series, following_source: pd.Series) -> pd.Series:
+    """Letters that a text repeats from the end of the one before, where their sources don't; else 0.
+
+    Twelve letters at least, and either sixteen or 35 % of the shorter text. The sources repeat if they agree over that length, or over the shorter source.
+    """
+
+    def one(a: str | None, b: str | None, s: str | None, t: str | None) -> int:
+        a, b = content_letters(a), content_letters(b)
+        n = seam(a, b, 12)
+        if not n or (n < 16 and n < 0.35 * min(len(a), len(b))):
+            return 0
+        s, t = content_letters(s), content_letters(t)
+        k = min(n, len(s), len(t))
+        return 0 if k >= 12 and s[-k:] == t[:k] else n
+
+    return pd.Series([one(*r) for r in zip(target, following, source, following_source, strict=True)], dtype="int32")
+
+
 @F.pandas_udf(T.DoubleType())
 def token_coverage(part: pd.Series, whole: pd.Series) -> pd.Series:
     """1 for a substring, else the share of `part` in matching blocks."""

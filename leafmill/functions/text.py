@@ -65,6 +65,21 @@ MATH = "=+−\\-×÷±∓≈≠≤≥<>∈∉⊂⊃∪∩∑∏∫√∂∇∞
 NAME_PARTICLES = "de del der di du la le van von".split()
 LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ"
 SPACE = r"(?U)\s+"
+BOUNDARY_WORDS = {
+    "en": r"\b(?:not|no|without|neither|nor|may|might|could|suggest(?:s|ed)?|appear(?:s|ed)?|likely|associate(?:d|s)?|correlat(?:e|ed|ion)|predict(?:s|ed|ion)?|caus(?:e|ed|al)|effect|result(?:s|ed)? in|lead(?:s|ing)? to|limitation(?:s)?)\b",
+    "zh": "并非|不是|不能|无法|未发现|没有|可能|或许|提示|表明|相关|关联|预测|导致|因果|局限",
+    "fr": r"\b(?:ne|pas|sans|peut|pourrait|sugg[eè]re|semble|associ|corr[eé]l|pr[eé]dit|caus|effet|limite)\w*\b",
+    "de": r"\b(?:nicht|kein|ohne|kann|k[oö]nnte|deutet|scheint|assozi|korrel|vorhers|urs[aä]ch|effekt|grenze)\w*\b",
+    "es": r"\b(?:no|sin|puede|podr[ií]a|sugiere|parece|asoci|correl|predic|caus|efecto|limitaci[oó]n)\w*\b",
+}
+HIGH_RISK_KINDS = ("abstract", "result", "discussion", "conclusion")
+HIGH_RISK_SECTION = r"\b(?:abstract|results?|discussion|limitations?|conclusions?)\b|(?:摘要|结果|讨论|局限|结论)"
+STATISTICS_WORDS = (
+    r"(?:\b(?:sample|participant|respondent|subjects?|patients?|mean|median|standard deviation|confidence interval|effect size|odds ratio|hazard ratio|cronbach|regression|anova|chi[- ]?square)\b"
+    r"|\b[NP]\s*[=:]\s*\d+|\bp\s*(?:[<=>≤≥])\s*0?\.\d+|\b(?:SD|SE|CI|OR|HR|RR)\s*[=:]\s*[-+]?\d|\d+(?:\.\d+)?\s*%)"
+)
+INSTRUMENT_WORDS = r"\b(?:scale|questionnaire|inventory|instrument|measure|item|subscale|likert|reverse[- ]?scor|score(?:d|s|ing)?|cronbach(?:'s)? alpha|reliability|validity)\b"
+REGION_ANCHOR = r"[0-9]+(?:\s*[x×]\s*[0-9]+)?|[A-Za-z]{3,}"
 
 
 def _all(c: Column, pattern: str, group: int = 0) -> Column:
@@ -343,20 +358,22 @@ def placeholders(c: Column) -> Column:
 
 
 def probe_text(c: Column) -> Column:
-    """Without white space and control characters."""
-    return F.regexp_replace(text(c), r"(?U)[\s\p{Cntrl}]+", "")
+    """Without white space and ASCII control characters."""
+    return F.regexp_replace(text(c), r"(?U)[\s\x00-\x1f\x7f]+", "")
 
 
-def probes(c: Column, size: int = 24, most: int = 6) -> Column:
-    """Up to `most` windows of `size` characters, end to end; a shorter text is one probe."""
+def probes(c: Column, size: int = 24, most: int = 6, least: int = 2) -> Column:
+    """Up to `most` windows of `size` characters, end to end; the last may be shorter, but not below `least`."""
     v = probe_text(c)
-    n = F.least(F.lit(most), F.floor(F.char_length(v) / size).cast("int"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substr(v, i * size + 1, F.lit(size)))).otherwise(F.array(v))
+    n = F.least(F.lit(most), F.ceil(F.char_length(v) / size).cast("int"))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(v, (i - 1) * size + 1, F.lit(size)))
+    return F.filter(cut, lambda x: F.char_length(x) >= least)
 
 
-def region_anchors(c: Column) -> Column:
-    """The first 12 distinct tokens."""
-    return F.slice(F.array_distinct(_all(text(c), r"[\p{L}\p{N}]{2,}")), 1, 12)
+def region_anchors(c: Column, most: int = 12) -> Column:
+    """The first distinct numbers (sizes such as 3 x 3 as one) and Latin words of three letters or more, without white space."""
+    found = F.transform(_all(text(c), REGION_ANCHOR), probe_text)
+    return F.slice(F.array_distinct(F.filter(found, lambda x: F.char_length(x) >= 2)), 1, most)
 
 
 def font_token(c: Column) -> Column:
@@ -383,13 +400,6 @@ def numbers_of_spec(c: Column) -> Column:
     return F.when(ok, F.array_sort(F.array_distinct(F.flatten(each))))
 
 
-def overlap_length(a: Column, b: Column, least: int = 12, most: int = 200) -> Column:
-    """Longest suffix of `a` that is a prefix of `b`; 0 below `least`."""
-    n = F.least(F.char_length(a), F.char_length(b), F.lit(most))
-    fits = F.filter(F.sequence(F.lit(least), F.greatest(n, F.lit(least))), lambda k: (k <= n) & (F.right(a, k) == F.left(b, k)))
-    return F.coalesce(F.array_max(fits), F.lit(0))
-
-
 def join_lines(lines: Column) -> Column:
     """Lines joined by a space, except within a URL that a line end has cut."""
     glue = lambda acc, x: F.when(acc == "", x).when(acc.rlike(r"https?://\S*[/\-_.=&?]$"), F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x))
@@ -416,13 +426,22 @@ def chunks(c: Column, most: int = 900) -> Column:
     return F.when(v == "", F.array().cast("array<string>")).when((F.size(sentences) <= 1) & (F.char_length(v) > most), cut).otherwise(packed)
 
 
-def review_flags(c: Column) -> Column:
-    """Boundary wording (English family), high-risk section, statistics, instruments."""
+def language_family(language: Column) -> Column:
+    """zh, fr, de or es by the code's beginning, else en."""
+    v = F.lower(text(language))
+    return F.when(v.startswith("zh"), "zh").when(v.startswith("fr"), "fr").when(v.startswith("de"), "de").when(v.startswith("es"), "es").otherwise("en")
+
+
+def review_flags(c: Column, kind: Column | None = None, language: Column | None = None) -> Column:
+    """Boundary wording of the source language's family, high-risk section (by kind or wording), statistics or samples, instruments."""
     v = text(c)
-    rules = {
-        "boundary": r"(?i)\b(?:not|no|without|may|might|could|suggest|appear|associat|correlat|predict|caus|effect|limit)",
-        "high-risk-section": r"(?i)\b(?:abstract|results?|discussion|limitations?|conclusions?)\b|(?:摘要|结果|讨论|局限|结论)",
-        "statistics": r"(?i)(?:\b(?:sample|participant|respondent|subjects?|patients?|mean|median|regression|anova)\b|\d+(?:\.\d+)?\s*%)",
-        "instrument": r"(?i)\b(?:scale|questionnaire|inventory|instrument|measure|item|subscale|likert|reliability|validity)\b",
-    }
-    return F.array_compact(F.array(*[F.when(v.rlike(p), F.lit(k)) for k, p in rules.items()]))
+    said = lambda pattern: v.rlike("(?iU)" + pattern)
+    family = language_family(F.lit(None).cast("string") if language is None else language)
+    boundary = F.lit(False)
+    for name, pattern in BOUNDARY_WORDS.items():
+        boundary = boundary | ((family == name) & said(pattern))
+    risky = said(HIGH_RISK_SECTION)
+    if kind is not None:
+        risky = risky | F.lower(text(kind)).isin(*HIGH_RISK_KINDS)
+    rules = {"semantic-boundary": boundary, "semantic-high-risk": risky, "statistics-or-sample": said(STATISTICS_WORDS), "instrument-item-or-scoring": said(INSTRUMENT_WORDS)}
+    return F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, hit in rules.items()]))

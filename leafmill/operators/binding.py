@@ -98,40 +98,65 @@ def bind_scored(units: DataFrame, blocks: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.unit_id").alias("unit_id")).agg(F.max_by(F.col("b.block_id"), F.struct(score.alias("s"), (-F.col("b.ord")).alias("o"))).alias("block_id"))
 
 
-SMALL = 200_000  # probes of up to `size` characters that are sent to every executor
+SMALL = 200_000  # needles, of `SMALL_CHARS` characters in all, that are sent to every executor
+SMALL_CHARS = 20_000_000
 
 
-def contains_probes(items: DataFrame, pages: DataFrame, item_id: str, page_id: str, size: int = 24, most: int = 6) -> DataFrame:
-    """Pages that contain a probe of an item: n_probes hit by (item, page).
+def find_needles(texts: DataFrame, key: str, text: Column, needles: DataFrame) -> DataFrame:
+    """key, needle: the distinct needles that stand somewhere in each text. needles: one column `needle`; empty ones are left out.
 
-    Both sides are cut into `size`-character windows and meet by equality: pages at every position, items end to end. So the join is
-    by key, never a product of items and pages. Shorter items are one probe and meet pages by their own length.
+    Up to `SMALL` needles go to every executor as one automaton, which reads each text once and needs no shuffle. More are met by equality:
+    texts cut at every position, once for each length of a needle.
     """
-    probe = items.select(item_id, F.explode(F.array_distinct(X.probes(F.col("text"), size, most))).alias("probe")).where("probe <> ''")
-    lengths = probe.groupBy(F.char_length("probe").alias("n")).count().collect()  # at most `size` lengths
+    wanted = needles.select("needle").where("needle <> ''").distinct()
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("needle")), F.lit(0)).alias("chars")).first()
+    v = texts.select(key, X.text(text).alias("v"))
+    if size.n <= SMALL and size.chars <= SMALL_CHARS:
+        shared = texts.sparkSession.sparkContext.broadcast([r.needle for r in wanted.collect()])
+
+        def scan(batches):
+            import ahocorasick
+            import pandas as pd
+
+            machine = ahocorasick.Automaton()
+            for needle in shared.value:
+                machine.add_word(needle, needle)
+            machine.make_automaton()
+            for pdf in batches:
+                ids, found = [], []
+                for id_, value in zip(pdf[key], pdf["v"], strict=True):
+                    hits = {needle for _, needle in machine.iter(value)} if len(machine) else ()
+                    ids += [id_] * len(hits)
+                    found += sorted(hits)
+                yield pd.DataFrame({key: pd.Series(ids, dtype=pdf[key].dtype), "needle": pd.Series(found, dtype="object")})
+
+        return v.mapInPandas(scan, f"`{key}` {dict(v.dtypes)[key]}, needle string")
     piece = 80  # a substring is found by counting characters from the start
-    v = pages.select(page_id, X.probe_text(F.col("text")).alias("v"))
     out = None
-    for n, count in lengths:
-        wanted = probe.where(F.char_length("probe") == n)
-        if count <= SMALL:  # pages' windows then need no shuffle
-            wanted = F.broadcast(wanted)
+    for (n,) in wanted.select(F.char_length("needle").alias("n")).distinct().collect():
         starts = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("v") - n, F.lit(0)) / piece)))
-        cut = v.select(page_id, "v", starts.alias("p")).select(page_id, F.substr("v", (F.col("p") * piece + 1).cast("int"), F.lit(piece + n - 1)).alias("v"))
+        part = v.select(key, "v", starts.alias("p")).select(key, F.substr("v", (F.col("p") * piece + 1).cast("int"), F.lit(piece + n - 1)).alias("v"))
         spots = F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("v") - n + 1, F.lit(1))))
-        grams = cut.select(page_id, "v", spots.alias("i")).select(page_id, F.substr("v", F.col("i"), F.lit(n)).alias("probe"))
-        hit = grams.join(wanted, "probe")
+        grams = part.select(key, "v", spots.alias("i")).select(key, F.substr("v", F.col("i"), F.lit(n)).alias("needle"))
+        hit = grams.join(wanted.where(F.char_length("needle") == n), "needle", "left_semi").select(key, "needle")
         out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        return items.select(item_id).crossJoin(pages.select(page_id)).where("false").withColumn("n_probes", F.lit(0).cast("long"))
-    return out.groupBy(item_id, page_id).agg(F.count_distinct("probe").alias("n_probes"))
+    return out.distinct()
+
+
+def contains_probes(items: DataFrame, pages: DataFrame, item_id: str, page_id: str, size: int = 24, most: int = 6) -> DataFrame:
+    """Pages that contain a probe of an item: n_probes hit by (item, page). items and pages: id and `text`, compared without white space."""
+    probe = items.select(item_id, F.explode(F.array_distinct(X.probes(F.col("text"), size, most))).alias("needle"))
+    hits = find_needles(pages, page_id, X.probe_text(F.col("text")), probe)
+    return hits.join(probe, "needle").groupBy(item_id, page_id).agg(F.count("*").alias("n_probes"))
 
 
 def anchor_pages(items: DataFrame, pages: DataFrame, item_id: str, page_id: str, least: int = 2) -> DataFrame:
-    """Pages with most of an item's anchors, all of equals, from two on. items and pages: id and `anchor`."""
-    hits = items.distinct().join(pages.distinct(), "anchor").groupBy(item_id, page_id).agg(F.count("*").alias("n_hits"))
+    """Pages whose text holds most of an item's anchors, all of equals, from two on. items: id and `anchor`; pages: id and `text`, without white space."""
+    anchors = items.select(item_id, F.col("anchor").alias("needle")).distinct()
+    hits = find_needles(pages, page_id, X.probe_text(F.col("text")), anchors).join(anchors, "needle").groupBy(item_id, page_id).agg(F.count("*").alias("n_hits"))
+    hits = hits.where(F.col("n_hits") >= least)
     best = hits.groupBy(item_id).agg(F.max("n_hits").alias("best"))
-    return hits.join(best, item_id).where((F.col("n_hits") == F.col("best")) & (F.col("n_hits") >= least)).select(item_id, page_id, "n_hits")
+    return hits.join(best, item_id).where(F.col("n_hits") == F.col("best")).select(item_id, page_id, "n_hits")
 
 
 def fingerprint_nearest(queries: DataFrame, index: DataFrame, block: str, limit: float, contrast: float) -> DataFrame:
@@ -168,13 +193,16 @@ def map_pages(rows: DataFrame, page_map: DataFrame) -> DataFrame:
 
 
 def missing_terms(units: DataFrame, terms: DataFrame) -> DataFrame:
-    """unit_id, term of units whose source has a term but whose target has neither its target nor a variant. Terms are a reviewed list, kept small by its nature."""
-    fold = lambda c, cs: F.when(cs, c).otherwise(F.lower(c))
-    cs = F.col("t.case_sensitive")
-    found = F.contains(fold(F.col("u.source"), cs), fold(F.col("t.source"), cs))
-    said = F.concat(F.array(F.col("t.target")), F.coalesce(F.col("t.allowed_variants"), F.array().cast("array<string>")))
-    has = F.exists(said, lambda v: F.contains(fold(F.col("u.target"), cs), fold(v, cs)))
-    return units.alias("u").join(terms.alias("t"), found & ~has).select("u.unit_id", F.col("t.source").alias("term"))
+    """unit_id, term of units whose source has a term but whose target has neither its target nor a variant. A term without letters is never found."""
+    t = terms.withColumn("cs", F.coalesce("case_sensitive", F.lit(False))).withColumn("needle", F.when(F.col("cs"), F.col("source")).otherwise(F.lower("source")))
+    find = lambda cs, c: find_needles(units, "unit_id", c, t.where(F.col("cs") == cs)).withColumn("cs", F.lit(cs))
+    hits = find(True, F.col("source")).unionByName(find(False, F.lower("source")))
+    said = F.concat(F.array("target"), F.coalesce("allowed_variants", F.array().cast("array<string>")))
+    pairs = hits.join(t.select("needle", "cs", F.col("source").alias("term"), said.alias("said")), ["needle", "cs"])
+    own = units.select("unit_id", F.col("target").alias("text"))
+    fold = lambda c: F.when(F.col("cs"), c).otherwise(F.lower(c))
+    has = F.exists("said", lambda v: F.contains(fold(F.col("text")), fold(v)))
+    return pairs.join(own, "unit_id").where(~F.coalesce(has, F.lit(False))).select("unit_id", "term")
 
 
 def headings_near(headings: DataFrame, pages: DataFrame, reach: int = 1) -> DataFrame:

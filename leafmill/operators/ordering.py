@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import arrow as A
+from leafmill.session import cut
+
 
 def layout_order(blocks: DataFrame, by: list[str], wide: Column, side: Column) -> DataFrame:
     """Reading order: zones between wide blocks; in a zone left, right, then ambiguous, by (y, x); a wide block closes its zone."""
@@ -133,34 +136,40 @@ def assign(rows: DataFrame, by: list[str], order: list, workers: int = 5) -> Dat
 
 
 def paginate(blocks: DataFrame, height: float) -> DataFrame:
-    """Adds `out_page`: groups stay together, what cannot split moves on, a footnote takes its height at the foot of the same page.
+    """doc_id, ord, out_page, area, problem: blocks in order on pages of `height`.
 
+    A group stands where its first block does and stays together; it moves to a new page if it fits one, as does a block that is higher than
+    what is left. A footnote goes to the foot of the current page and takes nothing from the text's height, also within a group. What is higher
+    than a page stays where it is, as a problem, unless it is a block that can be split. A document is one task, since each place depends on all before.
     blocks: doc_id, ord, group_id (nullable), height, splittable, footnote.
     """
 
     def doc(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord").reset_index(drop=True)
-        page, free, out = 1, height, []
-        i = 0
-        while i < len(pdf):
-            j = i + 1
-            g = pdf["group_id"][i]
-            while j < len(pdf) and g is not None and pdf["group_id"][j] == g:
-                j += 1
-            need = float(pdf["height"][i:j].sum())
-            splits = bool(pdf["splittable"][i]) and j == i + 1
-            if need > free and not (splits and free > 0) and free < height:
-                page, free = page + 1, height
-            out += [page] * (j - i)
-            while need > free:
-                need -= free
+        pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
+        foot, tall = pdf["footnote"].eq(True), pdf["height"].fillna(0.0)
+        members = {g: list(rows) for g, rows in pdf[~foot & pdf["group_id"].notna()].groupby("group_id").groups.items()}
+        page, free, at, problem = 1, height, [0] * len(pdf), [None] * len(pdf)
+        for i in range(len(pdf)):
+            if foot[i]:
+                at[i] = page
+                continue
+            if at[i]:
+                continue
+            group = members.get(pdf["group_id"][i])
+            rows = group or [i]
+            need = float(tall[rows].sum())
+            if need > height and (group or not pdf["splittable"][i]):
+                for r in rows:
+                    problem[r] = "GROUP_HIGHER_THAN_PAGE" if group else "BLOCK_HIGHER_THAN_PAGE"
+            elif need > free:
                 page, free = page + 1, height
+            for r in rows:
+                at[r] = page
             free -= need
-            i = j
-        pdf["out_page"] = out
-        return pdf[["doc_id", "ord", "out_page"]]
+        pdf["out_page"], pdf["area"], pdf["problem"] = at, foot.map({True: "footer", False: "body"}), problem
+        return pdf[["doc_id", "ord", "out_page", "area", "problem"]]
 
-    schema = ", ".join(f"{c} {t}" for c, t in blocks.select("doc_id", "ord").dtypes) + ", out_page int"
+    schema = ", ".join(f"{c} {t}" for c, t in blocks.select("doc_id", "ord").dtypes) + ", out_page int, area string, problem string"
     return blocks.groupBy("doc_id").applyInPandas(doc, schema)
 
 
@@ -174,9 +183,20 @@ def placement(pages: DataFrame) -> DataFrame:
 
 
 def rank_with_budget(rows: DataFrame, by: list[str], order: list, budget: int) -> DataFrame:
-    """Adds `rank` and `selected`; what is beyond the budget stays in the result as not selected."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).withColumn("selected", F.col("rank") <= budget)
+    """Adds `rank` and `selected`; what is beyond the budget stays in the result as not selected.
+
+    Without groups, rows are sorted by range and numbered within each range, which the counts of the ranges before it complete: no task sees the
+    whole table. The driver holds one count for each partition. `order` must be total, or ties may be numbered either way.
+    """
+    if by:
+        out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    else:
+        ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))  # ranges are sampled: they must be drawn once
+        counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+        before = counts.withColumn("_before", F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("_range", "_before")
+        within = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+        out = within.join(F.broadcast(before), "_range").withColumn("rank", (F.col("rank") + F.coalesce("_before", F.lit(0))).cast("int")).drop("_range", "_before")
+    return out.withColumn("selected", F.col("rank") <= budget)
 
 
 def newest(rows: DataFrame, by: str, order: list, keep: int, protected: Column) -> DataFrame:
@@ -185,12 +205,14 @@ def newest(rows: DataFrame, by: str, order: list, keep: int, protected: Column)
     return rows.withColumn("prune", ~protected & (F.row_number().over(w) > keep))
 
 
-def adjacent_overlaps(rows: DataFrame, by: list[str], order: list, target: str, source: str, overlap, least: int = 12) -> DataFrame:
-    """Neighbours whose targets repeat `least` characters at the seam while their sources don't."""
+def adjacent_overlaps(rows: DataFrame, by: list[str], order: list, target: str, source: str, page: str, kind: str) -> DataFrame:
+    """Rows with `overlap`: letters their target repeats from the end of the row before, on the same or the next page, while the sources don't; references never count."""
     w = Window.partitionBy(*by).orderBy(*order)
-    out = rows.withColumn("_t", F.lag(target).over(w)).withColumn("_s", F.lag(source).over(w)).where("_t is not null")
-    out = out.withColumn("overlap", overlap(F.col("_t"), F.col(target), least)).withColumn("source_overlap", overlap(F.col("_s"), F.col(source), least))
-    return out.where((F.col("overlap") > 0) & (F.col("source_overlap") == 0)).drop("_t", "_s")
+    last = {f"_{c}": F.lag(c).over(w) for c in dict.fromkeys((target, source, page, kind))}
+    out = rows.withColumns(last).where((F.col(page) - F.col(f"_{page}")).between(0, 1))
+    entry = lambda c: F.coalesce(F.lower(c).isin("reference", "references", "bibliography"), F.lit(False))
+    out = out.where(~entry(kind) & ~entry(f"_{kind}")).withColumn("overlap", A.repeated_seam(f"_{target}", target, f"_{source}", source))
+    return out.where("overlap > 0").drop(*last)
 
 
 def column_clusters(rows: DataFrame, share: float = 0.11) -> DataFrame:

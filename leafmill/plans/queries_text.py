@@ -110,7 +110,7 @@ def sentence_retention(spark, d):
 
 
 def review_flags(spark, d):
-    flags = X.review_flags(F.col("text"))
+    flags = X.review_flags(F.col("text"), F.col("source"), F.col("lang"))
     return _docs(spark, d).select("doc_id", F.array_join(flags, ",").alias("flags"))
 
 
@@ -153,10 +153,8 @@ def contains_join(spark, d):
 
 
 def anchor_overlap(spark, d):
-    words = lambda c: F.explode(X.region_anchors(F.col(c)))
-    items = table(spark, d, "benchmark").select("item_id", words("text").alias("anchor"))
-    docs = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)))).alias("anchor"))
-    return binding.anchor_pages(items, docs, "item_id", "doc_id", 2).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_hits").alias("n_hits"))
+    items = table(spark, d, "benchmark").select("item_id", F.explode(X.region_anchors(F.col("text"))).alias("anchor"))
+    return binding.anchor_pages(items, _docs(spark, d), "item_id", "doc_id", 2).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_hits").alias("n_hits"))
 
 
 TERMS = [("the", "the", ["The"], False), ("Nicht", "nicht", [], True), ("pour", "dans", ["que"], False), ("para", "por", [], False)]
@@ -200,9 +198,24 @@ def pack_batches(spark, d):
     return ordering.pack(c, "conv_id", 3, 2000, 2, 500)
 
 
+def _seams(spark, d):
+    """Turns whose text repeats the end of the turn before on two of three turns; of these the source repeats it too on every second."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumn("last", F.right(F.coalesce(F.lag("text").over(w), F.lit("")), (F.col("turn") * 5 + 9).cast("int")))
+    repeats = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.col("last"))
+    return c.select(
+        "conv_id",
+        "turn",
+        F.concat(repeats, "text").alias("target"),
+        F.when(F.col("turn") % 2 == 0, F.concat(repeats, "text")).otherwise(F.concat(F.col("turn").cast("string"), "text")).alias("source"),
+        F.floor(F.col("turn") / 2).alias("page"),
+        F.when(F.col("turn") % 7 == 4, "Reference").otherwise(F.col("role")).alias("kind"),
+    )
+
+
 def adjacent_overlap(spark, d):
-    c = table(spark, d, "conversations").withColumn("role_key", F.col("role"))
-    return ordering.adjacent_overlaps(c, ["conv_id"], ["turn"], "text", "role_key", X.overlap_length).select("conv_id", "turn", "overlap")
+    ship(spark)
+    return ordering.adjacent_overlaps(_seams(spark, d), ["conv_id"], ["turn"], "target", "source", "page", "kind").select("conv_id", "turn", "overlap")
 
 
 def fuzzy_match(spark, d):
@@ -272,12 +285,18 @@ ORACLES = {
         SELECT *, CASE WHEN a_len < 30 THEN NULL WHEN b_len / greatest(a_len, 1) < 0.45 THEN 'SEVERE_TRANSLATION_COMPRESSION' WHEN a_len >= 120 AND b_len / greatest(a_len, 1) < 0.6 THEN 'POSSIBLE_SUMMARY_OR_OMISSION' END AS flag FROM q""",
     "sentence_retention": f"""WITH {_PAIRS_SQL} SELECT a_id, b_id, len(list_filter(regexp_split_to_array(a, '[.!?]+\\s|\\n+'), lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]')) >= 8)) AS a_sentences,
         len(list_filter(regexp_split_to_array(b, '[.!?]+\\s|\\n+'), lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]')) >= 8)) AS b_sentences FROM p""",
-    "review_flags": r"""SELECT doc_id, array_to_string(list_filter([
-        CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:not|no|without|may|might|could|suggest|appear|associat|correlat|predict|caus|effect|limit)') THEN 'boundary' END,
-        CASE WHEN regexp_matches(text, '(?i)\b(?:abstract|results?|discussion|limitations?|conclusions?)\b') THEN 'high-risk-section' END,
-        CASE WHEN regexp_matches(text, '(?i)(?:\b(?:sample|participant|respondent|subjects?|patients?|mean|median|regression|anova)\b|\d+(?:\.\d+)?\s*%)') THEN 'statistics' END,
-        CASE WHEN regexp_matches(text, '(?i)\b(?:scale|questionnaire|inventory|instrument|measure|item|subscale|likert|reliability|validity)\b') THEN 'instrument' END], lambda x: x IS NOT NULL), ',') AS flags
-        FROM documents""",
+    "review_flags": r"""WITH b(family, words) AS (VALUES
+        ('en', 'not|no|without|neither|nor|may|might|could|suggest|suggests|suggested|appear|appears|appeared|likely|associate|associated|associates|correlate|correlated|correlation|predict|predicts|predicted|prediction|cause|caused|causal|effect|result in|results in|resulted in|lead to|leads to|leading to|limitation|limitations'),
+        ('fr', '(?:ne|pas|sans|peut|pourrait|suggère|suggere|semble|associ|corrél|correl|prédict|predict|caus|effet|limite)[\p{L}\p{N}_]*'),
+        ('de', '(?:nicht|kein|ohne|kann|könnte|konnte|deutet|scheint|assozi|korrel|vorhers|ursäch|ursach|effekt|grenze)[\p{L}\p{N}_]*'),
+        ('es', '(?:no|sin|puede|podría|podria|sugiere|parece|asoci|correl|predic|caus|efecto|limitación|limitacion)[\p{L}\p{N}_]*')),
+        d AS (SELECT *, CASE WHEN starts_with(lower(lang), 'zh') THEN 'zh' WHEN lower(lang[1:2]) IN ('fr', 'de', 'es') THEN lower(lang[1:2]) ELSE 'en' END AS family FROM documents)
+        SELECT doc_id, array_to_string(list_filter([
+        CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:' || words || ')(?:$|[^\p{L}\p{N}_])') THEN 'semantic-boundary' END,
+        CASE WHEN lower(source) IN ('abstract', 'result', 'discussion', 'conclusion') OR regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:abstract|result|results|discussion|limitation|limitations|conclusion|conclusions)(?:$|[^\p{L}\p{N}_])|摘要|结果|讨论|局限|结论') THEN 'semantic-high-risk' END,
+        CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:(?:sample|participant|respondent|subject|subjects|patient|patients|mean|median|standard deviation|confidence interval|effect size|odds ratio|hazard ratio|cronbach|regression|anova|chi[- ]?square)(?:$|[^\p{L}\p{N}_])|[NP]\s*[=:]\s*\d|p\s*[<=>≤≥]\s*0?\.\d|(?:SD|SE|CI|OR|HR|RR)\s*[=:]\s*[-+]?\d)|\d\s*%') THEN 'statistics-or-sample' END,
+        CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:scale|questionnaire|inventory|instrument|measure|item|subscale|likert|reverse[- ]?scor|scored?|scores|scoring|cronbach(?:''s)? alpha|reliability|validity)(?:$|[^\p{L}\p{N}_])') THEN 'instrument-item-or-scoring' END], lambda x: x IS NOT NULL), ',') AS flags
+        FROM d LEFT JOIN b USING (family)""",
     "repeated_lines": """WITH l AS (SELECT source, doc_id, left(regexp_replace(lower(trim(unnest(string_split(text, chr(10))))), '[0-9]+', '#', 'g'), 180) AS key FROM documents)
         SELECT source, key, count(DISTINCT doc_id) AS n_hits FROM l WHERE length(key) >= 8 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2""",
     "running_values": """WITH w AS (SELECT lang, doc_id, unnest(list_distinct(regexp_split_to_array(text, '[ \\n]+'))) AS word FROM documents), t AS (SELECT lang, count(DISTINCT doc_id) AS n FROM w WHERE word <> '' GROUP BY 1)
@@ -292,14 +311,17 @@ ORACLES = {
         l AS (SELECT *, lag(kind) OVER w AS k, lag(text) OVER w AS t, lag(page) OVER w AS p FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         SELECT conv_id, turn, CASE WHEN k IS NULL THEN true WHEN k = 'heading' THEN false WHEN k = 'caption' AND kind <> 'heading' THEN false ELSE NOT (p <> page AND NOT regexp_matches(t, '[.。!！?？;；]\s*$')) END AS may_break FROM l""",
     "contains_join": r"""WITH b AS (SELECT item_id, regexp_replace(text, '[\s\x00-\x1f\x7f]+', '', 'g') AS t FROM benchmark),
-        q AS (SELECT item_id, unnest(CASE WHEN length(t) >= 24 THEN list_transform(range(least(6, length(t) // 24)), lambda i: substr(t, i * 24 + 1, 24)) ELSE [t] END) AS probe FROM b),
-        q2 AS (SELECT DISTINCT * FROM q WHERE probe <> ''), d AS (SELECT doc_id, regexp_replace(text, '[\s\x00-\x1f\x7f]+', '', 'g') AS t FROM documents)
-        SELECT item_id, doc_id, count(DISTINCT probe) AS n_probes FROM q2 JOIN d ON contains(d.t, probe) GROUP BY 1, 2""",
-    "anchor_overlap": r"""WITH i AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]{2,}') AS x FROM benchmark), i1 AS (SELECT item_id, unnest(x) AS anchor, unnest(range(len(x))) AS pos FROM i),
+        q AS (SELECT item_id, unnest(list_filter(list_transform(range(least(6, (length(t) + 23) // 24)), lambda i: substr(t, i * 24 + 1, 24)), lambda x: length(x) >= 2)) AS probe FROM b),
+        q2 AS (SELECT DISTINCT * FROM q), p AS (SELECT DISTINCT probe FROM q2), d AS (SELECT doc_id, regexp_replace(text, '[\s\x00-\x1f\x7f]+', '', 'g') AS t FROM documents),
+        h AS (SELECT probe, doc_id FROM p JOIN d ON contains(d.t, probe))
+        SELECT item_id, doc_id, count(DISTINCT probe) AS n_probes FROM q2 JOIN h USING (probe) GROUP BY 1, 2""",
+    "anchor_overlap": r"""WITH i AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[0-9]+(?:\s*[x×]\s*[0-9]+)?|[A-Za-z]{3,}'), lambda v: regexp_replace(v, '\s+', '', 'g')), lambda v: length(v) >= 2) AS x FROM benchmark),
+        i1 AS (SELECT item_id, unnest(x) AS anchor, unnest(range(len(x))) AS pos FROM i),
         i2 AS (SELECT item_id, anchor, min(pos) AS pos FROM i1 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY min(pos)) <= 12),
-        a AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}]{2,}'))) AS anchor FROM documents),
-        h AS (SELECT item_id, doc_id, count(*) AS n FROM i2 JOIN a USING (anchor) GROUP BY 1, 2), m AS (SELECT item_id, max(n) AS n FROM h GROUP BY 1)
-        SELECT item_id, count(*) AS n_docs, max(n) AS n_hits FROM h JOIN m USING (item_id, n) WHERE n >= 2 GROUP BY item_id""",
+        p AS (SELECT DISTINCT anchor FROM i2), d AS (SELECT doc_id, regexp_replace(text, '[\s\x00-\x1f\x7f]+', '', 'g') AS t FROM documents),
+        a AS (SELECT doc_id, anchor FROM p JOIN d ON contains(d.t, anchor)),
+        h AS (SELECT item_id, doc_id, count(*) AS n FROM i2 JOIN a USING (anchor) GROUP BY 1, 2 HAVING count(*) >= 2), m AS (SELECT item_id, max(n) AS n FROM h GROUP BY 1)
+        SELECT item_id, count(*) AS n_docs, max(n) AS n_hits FROM h JOIN m USING (item_id, n) GROUP BY item_id""",
     "term_check": f"""WITH {_PAIRS_SQL}, t(source, target, variants, cs) AS (VALUES ('the', 'the', ['The'], false), ('Nicht', 'nicht', []::VARCHAR[], true), ('pour', 'dans', ['que'], false), ('para', 'por', []::VARCHAR[], false))
         SELECT b_id AS unit_id, t.source AS term FROM p JOIN t ON contains(CASE WHEN cs THEN a ELSE lower(a) END, CASE WHEN cs THEN t.source ELSE lower(t.source) END)
         AND len(list_filter(list_concat([t.target], variants), lambda v: contains(CASE WHEN cs THEN b ELSE lower(b) END, CASE WHEN cs THEN v ELSE lower(v) END))) = 0""",
@@ -315,6 +337,14 @@ ORACLES = {
         SELECT c.conv_id, c.turn, c.i, CASE WHEN f THEN r.batch + 1 ELSE r.batch END, CASE WHEN f THEN 1 ELSE r.n + 1 END, CASE WHEN f THEN c.chars ELSE r.c + c.chars END
         FROM r JOIN c ON c.conv_id = r.conv_id AND c.i = r.i + 1, LATERAL (SELECT r.n >= 3 OR r.c + c.chars > 2000 OR (c.head AND r.n >= 2 AND r.c >= 500) AS f))
         SELECT conv_id, ord, batch FROM r""",
+    "adjacent_overlap": r"""WITH l AS (SELECT *, right(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), (turn * 5 + 9)::INT) AS last FROM conversations),
+        c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE last END || text AS target, CASE WHEN turn % 2 = 0 THEN CASE WHEN turn % 3 = 0 THEN '' ELSE last END ELSE turn::VARCHAR END || text AS source,
+        turn // 2 AS page, turn % 7 = 4 OR lower(role) IN ('reference', 'references', 'bibliography') AS entry FROM l),
+        n AS (SELECT conv_id, turn, page, entry, regexp_replace(strip_accents(target), '[^\p{L}\p{N}]', '', 'g') AS b, regexp_replace(strip_accents(source), '[^\p{L}\p{N}]', '', 'g') AS t FROM c),
+        w AS (SELECT *, lag(b) OVER v AS a, lag(t) OVER v AS s, lag(page) OVER v AS q, lag(entry) OVER v AS e FROM n WINDOW v AS (PARTITION BY conv_id ORDER BY turn)),
+        o AS (SELECT *, coalesce(list_max(list_filter(range(12, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) AS overlap FROM w WHERE page - q BETWEEN 0 AND 1 AND NOT entry AND NOT e),
+        k AS (SELECT *, least(overlap, length(s), length(t)) AS k FROM o WHERE overlap >= 16 OR (overlap > 0 AND overlap >= 0.35 * least(length(a), length(b))))
+        SELECT conv_id, turn, overlap::INT AS overlap FROM k WHERE NOT (k >= 12 AND right(s, k) = left(t, k))""",
     "text_keys": r"""SELECT doc_id, sha256(text) AS sha256, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS n_content,
         sha256(left(regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g'), 180)) AS furniture FROM documents""",
     "placeholder_scan": r"""SELECT lang, sum(len(list_distinct(regexp_extract_all(text, '\{\{[^{}]{1,80}\}\}'))))::BIGINT AS n_placeholders, sum(len(regexp_extract_all(text, '\x{ad}')))::BIGINT AS n_soft_hyphens,

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -46,6 +46,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as written under spark.checkpoint.dir: evaluated once, whatever becomes of executors. A folder of its own only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

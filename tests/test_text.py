@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from leafmill.functions import arrow as A
 from leafmill.functions import text as X
 from leafmill.operators import gates
 
@@ -62,7 +63,7 @@ def test_spec_and_overlap(spark):
     assert one(spark, "1-3,7", X.numbers_of_spec) == [1, 2, 3, 7]
     assert one(spark, "1-x", X.numbers_of_spec) is None
     df = spark.createDataFrame([("abc the quick brown fox", "the quick brown fox jumps")], "a string, b string")
-    assert df.select(X.overlap_length(F.col("a"), F.col("b"))).first()[0] == len("the quick brown fox")
+    assert df.select(A.overlap_length(F.col("a"), F.col("b"))).first()[0] == len("the quick brown fox")
 
 
 def test_year_present(spark):
