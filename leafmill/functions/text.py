@@ -275,8 +275,8 @@ def residual_letters(c: Column) -> Column:
 
 
 def target_ratio(c: Column, system: str) -> Column:
-    """Target script characters over these and what is left in Latin; null without either."""
-    t = target_chars(strip_protected(c), system)
+    """Target script characters over these and the Latin letters left without protected pieces; null without either."""
+    t = target_chars(c, system)
     return F.when(t + residual_letters(c) > 0, t / (t + residual_letters(c)))
 
 

@@ -52,37 +52,53 @@ def union_length(rows: DataFrame, by: list[str], start: Column, end: Column) ->
     return one.groupBy(*by).agg(F.sum("length").alias("length"), F.count("*").alias("n_islands"))
 
 
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def _each(rows: DataFrame, by: list[str], columns: list[str], order: str, step, added: str) -> DataFrame:
+    """by, order and the columns of `added`: a Python step over each group's rows (tuples, in order), which returns a tuple for each row.
+
+    Many groups share an Arrow batch, so small groups cost little; a group (a document or a page) is one step.
+    """
+    types = dict(rows.dtypes)
+    names = [order, *(c for c in columns if c != order)]
+    g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *key, group in zip(*(pdf[c] for c in by), pdf["_rows"], strict=True):
+                group = [tuple(r[c] for c in names) for r in group]
+                out += [(*key, r[0], *new) for r, new in zip(group, step(group), strict=True)]
+            yield pd.DataFrame(out, columns=[*by, order, *(x.split()[0] for x in added.split(", "))])
+
+    return g.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*by, order]) + ", " + added)
 
 
 def cluster_boxes(drawings: DataFrame, grow: float = 14.0) -> DataFrame:
     """Adds `cluster`: connected boxes of a page, the least drawing number of each. drawings: doc_id, page, drawing_no, bbox.
 
-    Clusters never cross a page, so union-find runs in one task for each page; a sweep by x keeps it from comparing all pairs.
+    Clusters never cross a page, so union-find runs in one step for each page; a sweep by x keeps it from comparing all pairs.
     """
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("drawing_no").reset_index(drop=True)
-        b = [(x["x0"], x["y0"], x["x1"], x["y1"]) for x in pdf["bbox"]]
+    def page(rows: list[tuple]) -> list[tuple]:
+        b = [(x["x0"], x["y0"], x["x1"], x["y1"]) for _, x in rows]
         parent = list(range(len(b)))
-        order = sorted(range(len(b)), key=lambda i: b[i][0])
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
         open_: list[int] = []
-        for i in order:
+        for i in sorted(range(len(b)), key=lambda i: b[i][0]):
             open_ = [j for j in open_ if b[j][2] + grow >= b[i][0]]
             for j in open_:
                 if b[j][1] - grow <= b[i][3] and b[j][3] + grow >= b[i][1]:
-                    p, q = sorted((_find(parent, i), _find(parent, j)))
+                    p, q = sorted((find(i), find(j)))
                     parent[q] = p
             open_.append(i)
-        pdf["cluster"] = [int(pdf["drawing_no"][_find(parent, i)]) for i in range(len(b))]
-        return pdf[["doc_id", "page", "drawing_no", "cluster"]]
+        return [(rows[find(i)][0],) for i in range(len(b))]
 
-    schema = ", ".join(f"{c} {t}" for c, t in drawings.select("doc_id", "page", "drawing_no").dtypes) + ", cluster long"
-    return drawings.groupBy("doc_id", "page").applyInPandas(page, schema)
+    return _each(drawings, ["doc_id", "page"], ["bbox"], "drawing_no", page, "cluster long")
 
 
 def rule_groups(rules: DataFrame, x_slack: float = 6.0, most_gap: float = 260.0) -> DataFrame:
@@ -144,33 +160,31 @@ def paginate(blocks: DataFrame, height: float) -> DataFrame:
     blocks: doc_id, ord, group_id (nullable), height, splittable, footnote.
     """
 
-    def doc(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
-        foot, tall = pdf["footnote"].eq(True), pdf["height"].fillna(0.0)
-        members = {g: list(rows) for g, rows in pdf[~foot & pdf["group_id"].notna()].groupby("group_id").groups.items()}
-        page, free, at, problem = 1, height, [0] * len(pdf), [None] * len(pdf)
-        for i in range(len(pdf)):
-            if foot[i]:
+    def doc(rows: list[tuple]) -> list[tuple]:
+        members: dict = {}
+        for i, (_, group, _, _, foot) in enumerate(rows):
+            if group is not None and not foot:
+                members.setdefault(group, []).append(i)
+        page, free, at, problem = 1, height, [0] * len(rows), [None] * len(rows)
+        for i, (_, group, _, splits, foot) in enumerate(rows):
+            if foot:
                 at[i] = page
                 continue
             if at[i]:
                 continue
-            group = members.get(pdf["group_id"][i])
-            rows = group or [i]
-            need = float(tall[rows].sum())
-            if need > height and (group or not pdf["splittable"][i]):
-                for r in rows:
-                    problem[r] = "GROUP_HIGHER_THAN_PAGE" if group else "BLOCK_HIGHER_THAN_PAGE"
+            together = members.get(group, [i])
+            need = sum(rows[r][2] or 0.0 for r in together)
+            if need > height and (group is not None or not splits):
+                for r in together:
+                    problem[r] = "BLOCK_HIGHER_THAN_PAGE" if group is None else "GROUP_HIGHER_THAN_PAGE"
             elif need > free:
                 page, free = page + 1, height
-            for r in rows:
+            for r in together:
                 at[r] = page
             free -= need
-        pdf["out_page"], pdf["area"], pdf["problem"] = at, foot.map({True: "footer", False: "body"}), problem
-        return pdf[["doc_id", "ord", "out_page", "area", "problem"]]
+        return [(at[i], "footer" if row[4] else "body", problem[i]) for i, row in enumerate(rows)]
 
-    schema = ", ".join(f"{c} {t}" for c, t in blocks.select("doc_id", "ord").dtypes) + ", out_page int, area string, problem string"
-    return blocks.groupBy("doc_id").applyInPandas(doc, schema)
+    return _each(blocks, ["doc_id"], ["group_id", "height", "splittable", "footnote"], "ord", doc, "out_page int, area string, problem string")
 
 
 def split_groups(pages: DataFrame) -> DataFrame:
