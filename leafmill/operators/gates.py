@@ -46,24 +46,6 @@ def keep_source_ok(code: Column, source: Column, kind: Column, role: Column, in_
     )
 
 
-def unit_verdict(source: Column, target: Column, system: str, source_form: Column, keep_code: Column, keep_ok: Column) -> Column:
-    """state (translated, kept-source, invalid) and problem codes."""
-    ratio = X.target_ratio(target, system)
-    empty = X.clean(target) == ""
-    same = F.lower(X.clean(source)) == F.lower(X.clean(target))
-    low = ~source_form & X.is_prose(source) & (F.coalesce(ratio, F.lit(0.0)) < UNIT_LEAST)
-    problems = F.array_compact(
-        F.array(
-            F.when(keep_code.isNotNull() & ~keep_ok, F.lit("KEEP_SOURCE_NOT_ALLOWED")),
-            F.when(keep_code.isNull() & empty, F.lit("EMPTY_TRANSLATION")),
-            F.when(keep_code.isNull() & ~empty & same & X.has_letters(source) & ~source_form, F.lit("EQUALS_SOURCE")),
-            F.when(keep_code.isNull() & ~empty & ~same & low, F.lit("UNIT_TARGET_LANGUAGE_RATIO_LOW")),
-        )
-    )
-    state = F.when(F.size(problems) > 0, "invalid").when(keep_code.isNotNull(), "kept-source").otherwise("translated")
-    return F.struct(state.alias("state"), problems.alias("problems"))
-
-
 def three_levels(rows: DataFrame, document: str, batch: str, target: Column, residual: Column, kept: Column, chars: Column) -> DataFrame:
     """Ratio of sums at batch and document level with the gate of each; null where there is nothing to divide.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import geom as G
 from leafmill.functions import text as X
-from leafmill.operators import audit, binding, corpus, elements, gates, ordering, qa
+from leafmill.operators import audit, binding, cache, corpus, elements, gates, ordering, qa
 from leafmill.plans.queries_records import _BLOCKS, _OVER, _blocks, _of
 from leafmill.session import ship, table
 
@@ -171,11 +171,29 @@ def visual_rebuilds(spark, d):
     return p.select("p_partkey", bad.alias("problem"))
 
 
+def _cache_keys(spark, d, terms="t"):
+    c = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    made = c.select("conv_id").distinct().select("conv_id", F.when(F.col("conv_id") % 2 == 0, "zh").otherwise("ja").alias("target_language"), F.sha2(F.lit(terms), 256).alias("terminology_sha256"), F.when(F.col("conv_id") % 3 == 0, "m").alias("model"), F.lit(None).cast("string").alias("prompt_version"), F.lit(None).cast("string").alias("strategy_version"))
+    return cache.batch_keys(c, ["conv_id"], ["turn"], "turn", "role", made)
+
+
+def batch_cache_keys(spark, d):
+    return _cache_keys(spark, d)
+
+
+def cache_rounds(spark, d):
+    """A cache written for every fifth batch, again for every tenth, without every fifteenth, then asked for all."""
+    k = _cache_keys(spark, d)
+    rows = lambda n, name, at: k.where(F.col("conv_id") % n == 0).select("cache_key", F.lit(name).alias("results"), F.lit(at).alias("written"))
+    kept = cache.drop(cache.put(rows(5, "first", 1), rows(10, "second", 2)), rows(15, "", 0))
+    return cache.lookup(k, kept).select("conv_id", "hit", "results")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         unit_audit, level_audit, coverage_audit, reference_pages, paginate, full_binding, column_signal, profile_columns, cluster_boxes_sizes, page_findings, body_font_pages,
-        stage_totals, repair_tasks, reference_state, title_candidate, table_notes, blank_ratios, visual_rebuilds,
+        stage_totals, repair_tasks, reference_state, title_candidate, table_notes, blank_ratios, visual_rebuilds, batch_cache_keys, cache_rounds,
     )
 }
 
@@ -248,5 +266,11 @@ ORACLES = {
     "title_candidate": f"WITH {_BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, ord, block_id) AS n FROM b) SELECT page AS doc_id, block_id FROM r WHERE n = 1 AND y0 < 75",
     "table_notes": """SELECT doc_id, doc_id % 3 = 0 AS note, CASE doc_id % 3 WHEN 1 THEN 'figure' WHEN 2 THEN 'table' END AS kind, CASE doc_id % 3 WHEN 1 THEN '3' WHEN 2 THEN 'IV' END AS label FROM documents""",
     "blank_ratios": f"WITH {_BLOCKS} SELECT page, round(CASE WHEN sum(ord % 60) < 80 THEN 0.0::DOUBLE ELSE min(y0 / 600) END, 6) AS top_blank, round(1 - max(y1 / 600), 6) AS bottom_blank FROM b GROUP BY 1",
+    "batch_cache_keys": """WITH h AS (SELECT conv_id, count(*) AS n_units, string_agg('"' || sha256('{"id": "' || turn || '", "source": "' || coalesce(role, '') || '"}') || '"', ', ' ORDER BY turn) AS hashes FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1)
+        SELECT conv_id, n_units, sha256('{"cache_schema_version": "1.0", "model": "' || CASE WHEN conv_id % 3 = 0 THEN 'm' ELSE '' END || '", "prompt_version": "batch-prompt-v1", "strategy_version": "batched-units-v1", "target_language": "'
+        || CASE WHEN conv_id % 2 = 0 THEN 'zh' ELSE 'ja' END || '", "terminology_sha256": "' || sha256('t') || '", "unit_hashes": [' || hashes || ']}') AS cache_key FROM h""",
+    "cache_rounds": """WITH h AS (SELECT conv_id, conv_id % 3 = 0 AS m, conv_id % 2 = 0 AS z, string_agg(turn || ':' || coalesce(role, ''), ',' ORDER BY turn) AS s FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1),
+        g AS (SELECT m, z, s, bool_or(conv_id % 5 = 0) AS five, bool_or(conv_id % 10 = 0) AS ten, bool_or(conv_id % 15 = 0) AS gone FROM h GROUP BY ALL)
+        SELECT conv_id, five AND NOT gone AS hit, CASE WHEN NOT five OR gone THEN NULL WHEN ten THEN 'second' ELSE 'first' END AS results FROM h JOIN g USING (m, z, s)""",
     "visual_rebuilds": """SELECT p_partkey, p_partkey % 11 <> 0 AND p_partkey % 2 = 0 AND CASE p_partkey % 4 WHEN 0 THEN p_partkey % 9 < greatest(4, least(12, round_even(p_size * 3 * 0.1::DOUBLE, 0))) WHEN 1 THEN p_partkey % 9 < 3 WHEN 2 THEN p_partkey % 9 < 4 ELSE false END AS problem FROM part""",
 }

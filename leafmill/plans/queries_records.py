@@ -89,7 +89,8 @@ def union_area(spark, d):
 
 def cluster_boxes(spark, d):
     b = _blocks(spark, d).withColumn("drawing_no", F.col("ord") * 10)
-    return ordering.cluster_boxes(b.dropDuplicates(["page", "drawing_no"])).groupBy("page").agg(F.count_distinct("cluster").alias("n_clusters"))
+    b = b.groupBy("doc_id", "page", "drawing_no").agg(G.box(*[F.min(f"bbox.{k}") for k in ("x0", "y0", "x1", "y1")]).alias("bbox"))
+    return ordering.cluster_boxes(b).groupBy("page").agg(F.count_distinct("cluster").alias("n_clusters"))
 
 
 def layout_order(spark, d):
@@ -237,7 +238,7 @@ def fallback_plan(spark, d):
 
 def nearest_bind(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
-    return binding.fingerprint_nearest(v.where("id % 100 = 0"), v, "label", 1e9, 0.0).select("id", "nearest")
+    return binding.fingerprint_nearest(v.where("id % 100 = 0"), v, "label", 0.118, 0.12).select("id", "nearest")
 
 
 def first_by_key(spark, d):
@@ -323,6 +324,12 @@ ORACLES = {
         WHEN type = 'footnote' THEN 'translate-and-render-as-footnote' WHEN type = 'display-formula' THEN 'preserve-formula-region' ELSE 'translate-and-reflow' END AS strategy FROM p)
         SELECT p_partkey, strategy, CASE WHEN strategy <> 'omit-nonsemantic' AND type IN ('table', 'chart', 'display-formula') THEN 3 ELSE 1 END AS n_levels,
         CASE WHEN strategy <> 'omit-nonsemantic' AND type IN ('table', 'chart', 'display-formula') THEN 'preserve-element-region' END AS fallback, CASE WHEN strategy = 'omit-nonsemantic' THEN 'omitted' ELSE 'ready' END AS status, conf < 0.7::DOUBLE AS low_confidence FROM s""",
+    "nearest_bind": """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: pow(x - list_avg(v), 2))) / len(v)) AS s FROM v),
+        p AS (SELECT a.id, b.id AS other, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / len(a.v) AS d FROM c a JOIN c b ON a.label = b.label AND a.id <> b.id WHERE a.id % 100 = 0 AND a.s >= 0.12 AND b.s >= 0.12)
+        SELECT id, arg_min(other, d) AS nearest FROM p GROUP BY 1 HAVING min(d) <= 0.118""",
+    "cluster_boxes": f"""WITH RECURSIVE {_BLOCKS}, d AS (SELECT page, ord, min(x0) AS x0, min(y0) AS y0, min(x1) AS x1, min(y1) AS y1, count(*) AS n FROM b GROUP BY 1, 2),
+        j AS (SELECT p.page, p.ord AS a, q.ord AS c FROM d p JOIN d q ON p.page = q.page AND p.x0 - 14 <= q.x1 AND p.x1 + 14 >= q.x0 AND p.y0 - 14 <= q.y1 AND p.y1 + 14 >= q.y0),
+        z AS (SELECT page, a, c FROM j UNION SELECT z.page, z.a, j.c FROM z JOIN j ON z.page = j.page AND z.c = j.a), g AS (SELECT page, a, min(c) AS m FROM z GROUP BY 1, 2) SELECT page, count(DISTINCT m) AS n_clusters FROM g GROUP BY 1""",
     "first_by_key": "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1",
     "anchor_cascade": """WITH m AS (SELECT l_orderkey AS id, min(l_linenumber) FILTER (l_returnflag = 'A') AS a, min(l_linenumber) FILTER (l_returnflag = 'R') AS r, min(l_linenumber) FILTER (l_returnflag = 'N') AS n FROM lineitem GROUP BY 1)
         SELECT o_orderkey AS id, coalesce(a, r, n) AS page, CASE WHEN a IS NOT NULL THEN 'A' WHEN r IS NOT NULL THEN 'R' WHEN n IS NOT NULL THEN 'N' ELSE 'none' END AS method FROM orders LEFT JOIN m ON m.id = o_orderkey""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import arrow as A
 from leafmill.functions import keys
 from leafmill.functions import text as X
-from leafmill.operators import binding, corpus, elements, gates, ordering, reconcile
+from leafmill.operators import audit, binding, corpus, elements, gates, ordering, reconcile
 from leafmill.session import ship, table
 
 WORDS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
@@ -173,8 +173,10 @@ def three_level_gate(spark, d):
 
 
 def unit_verdicts(spark, d):
-    p = _pairs(spark, d).select("a_id", "b_id", gates.unit_verdict(F.col("a"), F.col("b"), "latin", F.lit(False), F.lit(None).cast("string"), F.lit(False)).alias("v"))
-    return p.groupBy(F.col("v.state").alias("state")).agg(F.count("*").alias("n"))
+    ship(spark)
+    p = _pairs(spark, d).select("a_id", "b_id", F.col("a").alias("source"), F.col("b").alias("translation"))
+    none = {c: F.lit(None).cast(t) for c, t in (("kind", "string"), ("role", "string"), ("keep_code", "string"), ("keep_reason", "string"), ("in_references", "boolean"), ("kept_terms", "array<string>"), ("cross_language", "boolean"))}
+    return audit.verdicts(p.withColumns(none), "latin").select("a_id", "b_id", "state")
 
 
 def document_decision(spark, d):
@@ -345,6 +347,8 @@ ORACLES = {
         o AS (SELECT *, coalesce(list_max(list_filter(range(12, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) AS overlap FROM w WHERE page - q BETWEEN 0 AND 1 AND NOT entry AND NOT e),
         k AS (SELECT *, least(overlap, length(s), length(t)) AS k FROM o WHERE overlap >= 16 OR (overlap > 0 AND overlap >= 0.35 * least(length(a), length(b))))
         SELECT conv_id, turn, overlap::INT AS overlap FROM k WHERE NOT (k >= 12 AND right(s, k) = left(t, k))""",
+    "unit_verdicts": rf"""WITH {_PAIRS_SQL}, q AS (SELECT a_id, b_id, a, b, list_transform([a, b], lambda t: lower(trim(trim(regexp_replace(t, '\s+', ' ', 'g')), ' .,;:!?"''()[]{{}}“”‘’·—–-'))) AS v FROM p)
+        SELECT a_id, b_id, CASE WHEN trim(b) = '' OR (regexp_matches(a, '\p{{L}}') AND v[1] = v[2]) THEN 'invalid' ELSE 'translated' END AS state FROM q""",
     "text_keys": r"""SELECT doc_id, sha256(text) AS sha256, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS n_content,
         sha256(left(regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g'), 180)) AS furniture FROM documents""",
     "placeholder_scan": r"""SELECT lang, sum(len(list_distinct(regexp_extract_all(text, '\{\{[^{}]{1,80}\}\}'))))::BIGINT AS n_placeholders, sum(len(regexp_extract_all(text, '\x{ad}')))::BIGINT AS n_soft_hyphens,
