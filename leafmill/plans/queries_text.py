@@ -281,6 +281,10 @@ ORACLES = {
         UNION ALL SELECT doc_id, 'caps', unnest(list_distinct(regexp_extract_all(text, '\b[A-Z]{3,}\b'))) FROM documents""",
     "url_anchors": r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_replace(url, '[.,;:)\]]+$', '') AS stripped FROM pages""",
     "href_anchors": """WITH h AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM pages) SELECT page_id, unnest(range(len(x))) AS pos, unnest(x) AS href FROM h""",
+    "acronym_anchors": r"""WITH m AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9-])', chr(1) || '\1' || chr(1), 'g'), '(?:^|\x01)([A-Z][A-Z0-9-]{1,12})(?:$|\x01)', 1), lambda x: x NOT IN ('AND', 'ARTICLE', 'AUTHOR',
+        'AUTHORS', 'BY', 'CONCLUSIONS', 'CONTRIBUTIONS', 'FOUNDATION', 'FUNDING', 'LITERATURE', 'METHOD', 'METHODS', 'OPEN', 'RESEARCH', 'RESULTS', 'REVIEW', 'STATEMENT', 'THEORY')) AS x FROM documents),
+        u AS (SELECT doc_id, x, list_distinct(x) AS y FROM m)
+        SELECT doc_id, len(list_filter(y, lambda a: length(a) <= 8 AND (regexp_matches(a, '[0-9-]') OR len(list_filter(x, lambda b: b = a)) >= 2)))::INT AS n_required, len(y)::INT AS n_present FROM u WHERE len(y) > 0""",
     "missing_anchors": f"""WITH {_PAIRS_SQL}, q AS (SELECT a_id, b_id, list_sort(list_filter(list_distinct(regexp_extract_all(a, '[0-9]+')), lambda v: NOT list_contains(regexp_extract_all(b, '[0-9]+'), v))) AS lost FROM p)
         SELECT a_id, b_id, len(lost) AS n_lost, array_to_string(lost, ' ') AS lost FROM q""",
     "length_ratio_flags": f"""WITH {_PAIRS_SQL}, q AS (SELECT a_id, b_id, len(regexp_extract_all(a, '[\\p{{L}}\\p{{N}}_]')) AS a_len, len(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_]')) AS b_len FROM p)
