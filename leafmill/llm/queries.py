@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, chat, htmltext, jaccardjoin, langid, linededup, mixing, quality, simhash, substrings
+from leafmill.llm import bpe, chat, htmltext, jaccardjoin, langid, linededup, mixing, quality, resample, simhash, substrings
 from leafmill.session import ship, table
 
 
@@ -59,6 +59,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return resample.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES = {
@@ -77,4 +83,5 @@ ORACLES = {
     "op7_line_dedup": linededup.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
     "op9_chat_format": chat.ORACLE,
+    "op13_importance_resampling": resample.ORACLE,
 }
