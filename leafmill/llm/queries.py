@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, chat, htmltext, jaccardjoin, langid, linededup, mixing, quality, resample, simhash, substrings
+from leafmill.llm import bpe, chat, htmltext, jaccardjoin, langid, linededup, mixing, quality, resample, simhash, substrings, tokenalign
 from leafmill.session import ship, table
 
 
@@ -59,6 +59,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    return tokenalign.report(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return resample.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -75,6 +82,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
+    "op11_token_alignment": op11_token_alignment,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
