@@ -254,9 +254,9 @@ def tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _OWN: dict = {}
 
 
-def aligner(a_path: str, b_path: str, lookup=None) -> Aligner:
-    """One for each worker process; another table of counts replaces it."""
-    key = (a_path, b_path, id(lookup) if lookup is None else lookup.id)
+def aligner(a_path: str, b_path: str, lookup=None, name: str = "") -> Aligner:
+    """One for each worker process; another table of counts, by its name, replaces it."""
+    key = (a_path, b_path, name)
     if key not in _OWN:
         _OWN.clear()
         _OWN[key] = Aligner(a_path, b_path, None if lookup is None else _unpack(lookup.value))
@@ -305,11 +305,11 @@ def with_best(counts: DataFrame) -> DataFrame:
     return counts.withColumn("b", b).join(F.broadcast(top), "b").select("key", "n", (F.col("n") == F.col("top")).alias("best"))
 
 
-def _reported(a_path: str, b_path: str, lookup):
+def _reported(a_path: str, b_path: str, lookup, name: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from leafmill.llm import tokenalign
 
-        own = tokenalign.aligner(a_path, b_path, lookup)
+        own = tokenalign.aligner(a_path, b_path, lookup, name)
         for batch in batches:
             for lo, hi, texts in _runs(batch, 1):
                 a, b, g, best, n, names = zip(*own.report(texts), strict=True)
@@ -353,7 +353,7 @@ def report(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str, id_co
         key, n, best = (table.column(c).to_numpy() for c in ("key", "n", "best"))
         order = np.argsort(key)
         sent = spark.sparkContext.broadcast(b"".join((key[order].tobytes(), n[order].tobytes(), best[order].astype(np.bool_).tobytes())))
-        out = docs.mapInArrow(_reported(a_path, b_path, sent), schema)
+        out = docs.mapInArrow(_reported(a_path, b_path, sent, scratch.root), schema)
     else:
         out = _joined_counts(docs, with_best(counts), a_path, b_path, scratch)
     return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
