@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, chat, htmltext, jaccardjoin, langid, linededup, mixing, quality, resample, simhash, substrings, tokenalign
+from leafmill.llm import bpe, chat, htmltext, jaccardjoin, langid, linededup, mixing, packing, quality, resample, simhash, substrings, tokenalign
 from leafmill.session import ship, table
 
 
@@ -66,6 +66,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.report(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return resample.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -83,6 +90,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
     "op11_token_alignment": op11_token_alignment,
+    "op12_best_fit_packing": op12_best_fit_packing,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
