@@ -182,15 +182,16 @@ def crossover(one: Packing, other: Packing, counts: dict[int, int], size: int, r
 
 
 def mutate(one: Packing, size: int, rng: random.Random) -> Packing:
-    """The worst-filled bins and some others are dissolved and their documents fitted again."""
-    share, least, kept, loose = rng.choice((0.02, 0.05, 0.1)), rng.randint(0, size // 8), {}, {}
+    """The worst-filled bins and some others are dissolved and their documents fitted again, at times in a blurred order."""
+    share, least, kept, loose = rng.choice((0.02, 0.1, 0.3)), rng.randint(0, size // 8), {}, {}
     for kind in sorted(one):
         if size - sum(kind) > least or rng.random() < share:
             for x in kind:
                 loose[x] = loose.get(x, 0) + one[kind]
         else:
             kept[kind] = one[kind]
-    return best_fit(loose, kept, size)
+    noise = rng.choice((0, 0.02, 0.5))
+    return best_fit(loose, kept, size, sorted(loose, key=lambda x: (-x * (1 + noise * rng.random()), x)))
 
 
 def bounded(one: Packing, size: int, kinds: int = KINDS) -> Packing:
@@ -219,6 +220,15 @@ def first(counts: dict[int, int], size: int, rng: random.Random, noise: float) -
     return best_fit(counts, {}, size, sorted(counts, key=lambda x: (-x * (1 + noise * rng.random()), x)))
 
 
+def _different(members: list[Packing]) -> list[Packing]:
+    """Without members that repeat an earlier one."""
+    out: list[Packing] = []
+    for m in members:
+        if m not in out:
+            out.append(m)
+    return out
+
+
 def evolve(members: list[Packing], counts: dict[int, int], size: int, rng: random.Random, keep: int, generations: int = GENERATIONS) -> list[Packing]:
     """Some generations of one island, best first."""
     least = -(-sum(x * n for x, n in counts.items()) // size)
@@ -231,7 +241,7 @@ def evolve(members: list[Packing], counts: dict[int, int], size: int, rng: rando
             one, other = members[min(rng.randrange(len(members)), rng.randrange(len(members)))], members[rng.randrange(len(members))]
             child = crossover(one, other, counts, size, rng)
             young.append(bounded(mutate(child, size, rng) if rng.random() < 0.5 else child, size))
-        members = sorted([*members, *young], key=lambda m: cost(m, size))[:keep]
+        members = _different(sorted([*members, *young], key=lambda m: cost(m, size)))[:keep]
     return members[:keep]
 
 
@@ -307,7 +317,7 @@ def plan(spark: SparkSession, parts: DataFrame, size: int = SEQUENCE, scratch: S
     """The rows of a stored table of `pieces` with sequence_id and offset. What is collected and sent has a row for each length or kind of bin."""
     scratch = scratch or Scratch(spark, "packing")
     parts = parts.select("doc_id", "piece", "start", "length", "ids_crc32")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()}  # at most `size` rows
     whole = counts.pop(size, 0)
     bins = search(spark, counts, size, scratch)
     if whole:
