@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmill.plans import queries_audit, queries_records, queries_text
+from leafmill.plans import queries_audit, queries_mapping, queries_records, queries_text
 
-QUERIES: dict = {**queries_text.QUERIES, **queries_records.QUERIES, **queries_audit.QUERIES}
-ORACLES: dict = {**queries_text.ORACLES, **queries_records.ORACLES, **queries_audit.ORACLES}
+QUERIES: dict = {**queries_text.QUERIES, **queries_records.QUERIES, **queries_audit.QUERIES, **queries_mapping.QUERIES}
+ORACLES: dict = {**queries_text.ORACLES, **queries_records.ORACLES, **queries_audit.ORACLES, **queries_mapping.ORACLES}
 FLAGSHIP = "corpus_summary"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -47,10 +48,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as written under spark.checkpoint.dir: evaluated once, whatever becomes of executors. A folder of its own only where that is unset."""
+    """The rows as written under spark.checkpoint.dir: evaluated once, whatever becomes of executors. A folder of its own only where that is unset and all runs in one process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
     return df.checkpoint()
 
 
