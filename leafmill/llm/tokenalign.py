@@ -19,11 +19,13 @@ its pieces; other columns pass through `align`, where columns with the names of
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from leafmill.llm.unitmemo import Memo
 LOOKUP = 4_000_000
 #: Different pairs that a task holds before it passes its counts on.
 HELD = 500_000
+#: Pieces of text that a worker remembers, in two generations.
+KNOWN = 400_000
 _LABELS = np.frombuffer(b".abx", np.uint8)
 _SPAN = re.compile(rb"[ab]*x")
 _ODD = re.compile(r"[^\S\n]|.\n|^\n?$|▁", re.S)
@@ -90,7 +94,7 @@ class Aligner:
         self.a_name, self.b_name = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
         self.cuts = all("▁" not in p.lstrip("▁") and "\n" not in p[1:] for p in pieces)
         self.lookup = lookup
-        self.links, self.sums, self.whole = Memo(self._links), Memo(self._sums), Memo(self._full)
+        self.links, self.sums, self.whole = Memo(self._links, KNOWN), Memo(self._sums, KNOWN), Memo(self._full)
 
     def groups(self, text: str) -> Groups | None:
         """Groups of space and text; None if it has no tokens."""
@@ -147,28 +151,28 @@ class Aligner:
         for x in self._learn(pieces):
             yield x and x[0].links[x[1] : x[2]].tobytes()
 
-    def _running(self, g: Groups) -> tuple[list[list[int]], list[str]]:
-        """Before each group: tokens of A, of B, links that are the most frequent of their B id, sum of counts; and names of groups."""
-        out = np.zeros((4, len(g.links) + 1), np.int64)
-        out[0, 1:], out[1, 1:] = g.a_at, g.b_at
+    def _running(self, g: Groups) -> np.ndarray:
+        """Before each group: tokens of A, of B, groups, links that are the most frequent of their B id, sum of counts."""
+        out = np.zeros((len(g.links) + 1, 5), np.int64)
+        out[1:, 0], out[1:, 1], out[:, 2] = g.a_at, g.b_at, np.arange(len(out))
         if self.lookup:
             keys, n, top = self.lookup
             at = np.searchsorted(keys, g.links)
-            np.cumsum(top[at], out=out[2, 1:])
-            np.cumsum(n[at], out=out[3, 1:])
-        return out.T.tolist(), self._names(g)
+            np.cumsum(top[at], out=out[1:, 3])
+            np.cumsum(n[at], out=out[1:, 4])
+        return out
 
-    @staticmethod
-    def _sum(running: tuple[list[list[int]], list[str]], lo: int, hi: int) -> tuple:
-        (a0, b0, m0, n0), (a, b, m, n) = running[0][lo], running[0][hi]
-        return a - a0, b - b0, hi - lo, m - m0, n - n0, ";".join(running[1][lo:hi])
-
-    def _sums(self, pieces: list[str]) -> Iterator[tuple | None]:
-        last = running = None
-        for x in self._learn(pieces):
-            if x and x[0] is not last:
-                last, running = x[0], self._running(x[0])
-            yield x and self._sum(running, x[1], x[2])
+    def _sums(self, pieces: list[str]) -> Iterator[tuple[bytes, str] | None]:
+        """The five sums of a piece, as bytes, and the names of its groups."""
+        for g, some in groupby(self._learn(pieces), lambda x: x and x[0]):
+            if g is None:
+                yield from some
+                continue
+            lo, hi = zip(*[x[1:] for x in some], strict=True)
+            running, names = self._running(g), self._names(g)
+            rows = (running[list(hi)] - running[list(lo)]).tobytes()
+            for k, (a, b) in enumerate(zip(lo, hi, strict=True)):
+                yield rows[40 * k : 40 * k + 40], ";".join(names[a:b])
 
     def _full(self, pieces: list[str]) -> Iterator[tuple | None]:
         """Size in bytes, ends of groups, names of groups, links, tokens of A and B."""
@@ -210,20 +214,23 @@ class Aligner:
         pieces = [self.pieces(x) if x else [] for x in texts]
         at = dict.fromkeys(chain.from_iterable(pieces))
         known = self.sums.known(set(at))
-        names, numbers, odd = [], np.zeros((len(at), 5), np.int64), set()
-        for k, p in enumerate(at):
-            at[p] = k
-            names.append((found := known[p] or _EMPTY)[5])
-            numbers[k] = found[:5]
-            if known[p] is None:
-                odd.add(p)
+        found = list(map(known.__getitem__, at))
+        odd = {p for p, f in zip(at, found, strict=True) if f is None} if None in found else set()
+        names = [f[1] if f else "" for f in found]
+        numbers = np.frombuffer(b"".join([f[0] if f else bytes(40) for f in found]), np.int64).reshape(-1, 5)
+        at = dict(zip(at, range(len(at)), strict=True))
+        where = np.fromiter(map(at.__getitem__, chain.from_iterable(pieces)), np.int64)
+        upto = np.zeros((len(where) + 1, 5), np.int64)
+        np.cumsum(numbers[where], axis=0, out=upto[1:])
+        shown, lo = np.array(names, object)[where].tolist(), 0
         for x, own in zip(texts, pieces, strict=True):
+            hi = lo + len(own)
             if odd and own and not odd.isdisjoint(own):
                 whole = self.groups(x)
-                yield self._sum(self._running(whole), 0, len(whole.ends)) if whole else _EMPTY
+                yield (*self._running(whole)[-1].tolist(), ";".join(self._names(whole))) if whole else _EMPTY
             else:
-                where = list(map(at.__getitem__, own))
-                yield *numbers[where].sum(0).tolist(), ";".join(map(names.__getitem__, where))
+                yield *(upto[hi] - upto[lo]).tolist(), ";".join(shown[lo:hi])
+            lo = hi
 
     def shapes(self, texts: list[str]) -> Iterator[tuple[list[int], str, np.ndarray, int, int]]:
         """Where groups end in the bytes of space and text, their ids, their links, tokens of A and B."""
@@ -275,6 +282,16 @@ def _runs(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[str]]
         yield lo, hi, batch.column(at).slice(lo, hi - lo).to_pylist()
 
 
+@contextlib.contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without the search for reference cycles: none are made here, and it would walk through all that is remembered."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _counted(a_path: str, b_path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from leafmill.llm import tokenalign
@@ -283,7 +300,8 @@ def _counted(a_path: str, b_path: str):
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, texts in _runs(batch, 0):
-                k, m = own.count(texts)
+                with tokenalign._no_cycles():
+                    k, m = own.count(texts)
                 keys, n = tally(np.concatenate((keys, k)), np.concatenate((n, m)))
                 if len(keys) > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
@@ -312,7 +330,8 @@ def _reported(a_path: str, b_path: str, lookup, name: str):
         own = tokenalign.aligner(a_path, b_path, lookup, name)
         for batch in batches:
             for lo, hi, texts in _runs(batch, 1):
-                a, b, g, best, n, names = zip(*own.report(texts), strict=True)
+                with tokenalign._no_cycles():
+                    a, b, g, best, n, names = zip(*own.report(texts), strict=True)
                 sha = [x and hashlib.sha256(x.encode("ascii")).hexdigest() for x in names]
                 columns = [batch.column(0).slice(lo, hi - lo), *(pa.array(x, pa.int64()) for x in (a, b, g, best, n)), pa.array(sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups_sha256"])
