@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geom as G
-from leafmill.operators import splice
+from leafmill.operators import chains, splice
 from leafmill.session import cut, ship, table
 
 
@@ -64,7 +64,42 @@ def payload_coverage(spark, d):
     return splice.replaced(units, items).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (payload_units, payload_sequence, payload_problems, payload_coverage)}
+def _flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders of a customer as pages of a document, lines as units: two columns, texts and places from the given numbers."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min(F.col("l_quantity").cast("int")).alias("q"))
+    wide, low = F.when(F.col("s") % 3 == 0, 300.0).otherwise(0.0), F.when(F.col("q") % 3 == 0, 10.0).otherwise(640.0)
+    ends = F.element_at(F.array(F.lit(" and goes on"), F.lit(" and goes on 12"), F.lit("."), F.lit(' ends?" 3'), F.lit(" short")), (F.col("p") % 5 + 1).cast("int"))
+    body = F.concat(F.lit("Some words of unit "), F.col("p"), ends)
+    units = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "doc_id",
+        F.concat_ws("-", "o_orderkey", "l_linenumber").alias("unit_id"),
+        F.col("l_linenumber").alias("ord"),
+        "page",
+        G.box(wide, low, wide + 250 + F.col("q") % 4 * 10, low + 100).alias("bbox"),
+        F.when(F.col("s") % 7 == 0, "heading").otherwise("body").alias("kind"),
+        F.when((F.col("q") % 5 == 0) & (F.col("l_linenumber") > 1), F.concat(F.lit("12 note "), F.col("p"))).otherwise(body).alias("source"),
+        F.concat(F.lit("target "), F.col("p")).alias("target"),
+    )
+    return units, o.select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+
+
+def page_continuations(spark, d):
+    return chains.continuations(*_flow(spark, d))
+
+
+def continuation_chains(spark, d):
+    return chains.rank(chains.continuations(*_flow(spark, d)), ["doc_id"], "unit_id", "next_id")
+
+
+def customer_chains(spark, d):
+    """Each order of a customer and the one after it: chains as long as customers have orders."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    edges = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(w).alias("next"))
+    return chains.rank(edges, ["o_custkey"], "o_orderkey", "next")
+
+
+QUERIES = {f.__name__: f for f in (page_continuations, continuation_chains, customer_chains, payload_units, payload_sequence, payload_problems, payload_coverage)}
 
 _PAY = r"""u AS MATERIALIZED (SELECT doc_id, (i - 1)::BIGINT AS k, (i - 1) // 8 + 1 AS page, (i - 1) % 8 AS r, regexp_replace(lower(line), '[^a-z0-9]', '', 'g') AS t, (i - 1 + doc_id) % 11 = 0 AS stays
     FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
@@ -78,7 +113,21 @@ _PAY = r"""u AS MATERIALIZED (SELECT doc_id, (i - 1)::BIGINT AS k, (i - 1) // 8
     UNION ALL SELECT u.doc_id, it.item_id, u.k FROM it JOIN u ON u.doc_id = it.doc_id AND u.page = it.page + 1 AND it.s % 2 = 0 AND it.s % 4 <> 0 AND u.r * 10 + 4 BETWEEN 30 AND 48))"""
 _SPANS = "sp AS (SELECT doc_id, item_id, min(k) AS lo, max(k) AS hi, count(*) AS n FROM tk GROUP BY 1, 2), pl AS (SELECT it.*, sp.lo, sp.hi, sp.n, EXISTS (SELECT 1 FROM u WHERE u.doc_id = it.doc_id AND u.k = anchor) AS here FROM it LEFT JOIN sp USING (doc_id, item_id))"
 
+_FLOW = r"""o AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page FROM orders),
+  li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity::INT) AS q FROM lineitem GROUP BY 1, 2),
+  un AS (SELECT doc_id, page, concat_ws('-', o_orderkey, l_linenumber) AS id, l_linenumber AS ord, CASE WHEN s % 3 = 0 THEN 300 ELSE 0 END AS x0, CASE WHEN s % 3 = 0 THEN 300 ELSE 0 END + 250 + q % 4 * 10 AS x1, CASE WHEN q % 3 = 0 THEN 10 ELSE 640 END AS y0, s % 7 <> 0 AS body,
+    CASE WHEN q % 5 = 0 AND l_linenumber > 1 THEN '12 note ' || p ELSE 'Some words of unit ' || p || [' and goes on', ' and goes on 12', '.', ' ends?" 3', ' short'][p % 5 + 1] END AS t, q % 5 = 0 AND l_linenumber > 1 AND q % 3 <> 0 AS note FROM o JOIN li ON o_orderkey = l_orderkey),
+  en AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord, id) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord DESC, id DESC) AS down FROM un WHERE NOT note),
+  ct AS (SELECT a.doc_id, a.id AS unit_id, b.id AS next_id FROM en a JOIN en b ON a.doc_id = b.doc_id AND b.page = a.page + 1 AND a.down = 1 AND b.up = 1 AND a.body AND b.body AND a.y0 + 100 >= 792 * 0.68 AND b.y0 <= 198
+    AND ((least(a.x1, b.x1) - greatest(a.x0, b.x0) >= least(a.x1 - a.x0, b.x1 - b.x0) * 0.45 AND abs(a.x0 - b.x0) <= greatest(28, 612 * 0.06))
+      OR (a.x0 >= 612 * 0.45 AND b.x0 <= 612 * 0.25 AND abs(a.x1 - a.x0 - b.x1 + b.x0) <= greatest(28, least(a.x1 - a.x0, b.x1 - b.x0) * 0.18)))
+    AND length(a.t) >= 12 AND length(b.t) >= 4 AND NOT regexp_matches(regexp_replace(a.t, '(?:\s*(?:\d{1,3}))+$', ''), '[.!?][”’"'']?$'))"""
+
 ORACLES = {
+    "page_continuations": f"WITH {_FLOW} SELECT * FROM ct",
+    "continuation_chains": f"""WITH RECURSIVE {_FLOW}, ch AS (SELECT doc_id, unit_id, unit_id AS head, 0::BIGINT AS pos FROM ct WHERE NOT EXISTS (SELECT 1 FROM ct c WHERE c.doc_id = ct.doc_id AND c.next_id = ct.unit_id)
+        UNION ALL SELECT ch.doc_id, ct.next_id, head, pos + 1 FROM ch JOIN ct ON ct.doc_id = ch.doc_id AND ct.unit_id = ch.unit_id) SELECT doc_id, unit_id, head, pos AS "at" FROM ch""",
+    "customer_chains": """SELECT o_custkey, o_orderkey, first_value(o_orderkey) OVER w AS head, row_number() OVER w - 1 AS "at" FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "payload_units": f"WITH {_PAY} SELECT doc_id, item_id, k AS unit_id FROM tk",
     "payload_sequence": f"""WITH {_PAY}, {_SPANS}, z AS (SELECT doc_id, CASE WHEN here THEN anchor ELSE lo END AS at_, 0 AS tier, page AS nth, 'payload' AS source, item_id AS id, coalesce(n, 0) AS n_replaced FROM pl WHERE here OR lo IS NOT NULL
         UNION ALL SELECT doc_id, k, 1, 0, 'unit', k::VARCHAR, 0 FROM u WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.doc_id = u.doc_id AND tk.k = u.k)) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at_, tier, nth, id) AS position, source, id, n_replaced FROM z""",

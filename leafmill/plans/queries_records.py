@@ -197,6 +197,7 @@ def risk_scores(spark, d):
 
 
 def inversion_count(spark, d):
+    ship(spark)
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     return ordering.inversions(li, ["l_orderkey"], "l_linenumber", "l_shipdate")
 
