@@ -19,8 +19,10 @@ table gives an empty result; other columns are not read. Reruns agree.
 
 from __future__ import annotations
 
+import json
 import os
 import random
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from leafmill.llm import ranks
 from leafmill.llm import textkernel as K
 from leafmill.llm.scratch import Scratch
-from leafmill.llm.unitmemo import Memo
+from leafmill.llm.unitmemo import Memo, without_cycles
 
 SEQUENCE = 2048
 END = 0
@@ -48,29 +50,66 @@ SEED = 7
 Packing = dict[tuple[int, ...], int]
 
 
+#: Words that a worker remembers, in two generations.
+KNOWN = 400_000
+
+
 class WordEncoder:
     """Token ids of texts, white space by white space: this tokenizer drops it, and no token goes across it."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.memo = Memo(self._learn)
+        self.memo = Memo(self._learn, KNOWN)
+        shape = json.loads(self.tokenizer.to_str())
+        self.split = regex.compile(shape["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        if not all(t["content"].startswith("<|") for t in shape["added_tokens"]):
+            raise ValueError("special tokens are expected to begin with <|")
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)  # tokens that end a piece of the split pattern
+        self.ends[[i for name, i in names.items() if name.endswith(shape["model"]["end_of_word_suffix"])]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _count(self, word: str) -> int:
+        """Pieces of the split pattern in a word: each has one token that ends it."""
+        return 1 if word.isascii() and word.isalpha() else len(self.split.findall(unicodedata.normalize("NFC", word).lower()))
 
     def _learn(self, words: list[str]) -> Iterator[bytes]:
-        out = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(out.ids, "<u4").tobytes()
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        cut = (4 * np.searchsorted(np.array(out.offsets, np.int64).reshape(-1, 2)[:, 0], starts)).tolist()
-        return (ids[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """One encoding of all words, cut by how many pieces each has; words that may hold a special token go alone."""
+        plain = [w for w in words if "<|" not in w]
+        ids = self._ids(" ".join(plain))
+        ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        upto = np.cumsum([0, *map(self._count, plain)])
+        if upto[-1] == len(ends) - 1:
+            cut, data = (4 * ends[upto]).tolist(), ids.tobytes()
+            found = iter([data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        else:  # another version of Unicode counts otherwise
+            found = iter([self._ids(w).tobytes() for w in plain])
+        for w in words:
+            yield self._ids(w).tobytes() if "<|" in w else next(found)
+
+    def _words(self, text: str | None) -> list[str]:
+        """Words of a text, in lower case where that is sure to be the tokenizer's: Latin-1 without the beginning of a special token."""
+        if not text:
+            return []
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as unsigned 32-bit little-endian integers."""
-        words = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
+        words = list(map(self._words, texts))
         known = self.memo.known(set().union(*words))
-        for own in words:
-            yield b"".join(map(known.__getitem__, own))
+        return [b"".join(map(known.__getitem__, own)) for own in words]
 
 
 _OWN: dict[str, WordEncoder] = {}
@@ -91,8 +130,10 @@ def _pieces(path: str, size: int, end: int, with_ids: bool):
         for batch in batches:
             raw, off = K.texts(batch.column(1))
             for lo, hi in K.parts(raw, off, 1 << 22):
-                ids, rows = batch.column(0).slice(lo, hi - lo).to_pylist(), []
-                for i, tokens in zip(ids, own.encode(batch.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
+                ids, texts, rows = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), []
+                with packing.without_cycles():
+                    encoded = own.encode(texts)
+                for i, tokens in zip(ids, encoded, strict=True):
                     tokens += tail
                     for k, at in enumerate(range(0, len(tokens), 4 * size)):
                         part = tokens[at : at + 4 * size]

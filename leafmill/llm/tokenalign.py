@@ -19,8 +19,6 @@ its pieces; other columns pass through `align`, where columns with the names of
 
 from __future__ import annotations
 
-import contextlib
-import gc
 import hashlib
 import re
 from collections import Counter
@@ -34,7 +32,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import textkernel as K
 from leafmill.llm.scratch import Scratch
-from leafmill.llm.unitmemo import Memo
+from leafmill.llm.unitmemo import Memo, without_cycles
 
 #: Most pairs that are sent to every task.
 LOOKUP = 4_000_000
@@ -282,16 +280,6 @@ def _runs(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[str]]
         yield lo, hi, batch.column(at).slice(lo, hi - lo).to_pylist()
 
 
-@contextlib.contextmanager
-def _no_cycles() -> Iterator[None]:
-    """Without the search for reference cycles: none are made here, and it would walk through all that is remembered."""
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
-
-
 def _counted(a_path: str, b_path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from leafmill.llm import tokenalign
@@ -300,7 +288,7 @@ def _counted(a_path: str, b_path: str):
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, texts in _runs(batch, 0):
-                with tokenalign._no_cycles():
+                with tokenalign.without_cycles():
                     k, m = own.count(texts)
                 keys, n = tally(np.concatenate((keys, k)), np.concatenate((n, m)))
                 if len(keys) > HELD:
@@ -330,7 +318,7 @@ def _reported(a_path: str, b_path: str, lookup, name: str):
         own = tokenalign.aligner(a_path, b_path, lookup, name)
         for batch in batches:
             for lo, hi, texts in _runs(batch, 1):
-                with tokenalign._no_cycles():
+                with tokenalign.without_cycles():
                     a, b, g, best, n, names = zip(*own.report(texts), strict=True)
                 sha = [x and hashlib.sha256(x.encode("ascii")).hexdigest() for x in names]
                 columns = [batch.column(0).slice(lo, hi - lo), *(pa.array(x, pa.int64()) for x in (a, b, g, best, n)), pa.array(sha, pa.string())]

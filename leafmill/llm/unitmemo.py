@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import contextlib
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 MEMO = 200_000
 #: Pieces learned at once.
@@ -31,3 +33,13 @@ class Memo:
             some = fresh[lo : lo + STEP]
             self.new.update(zip(some, self.learn(some), strict=True))
         return self.new
+
+
+@contextlib.contextmanager
+def without_cycles() -> Iterator[None]:
+    """Without the search for reference cycles: it would walk through all that is remembered, and no cycles are made here."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
