@@ -316,7 +316,7 @@ def search(spark: SparkSession, counts: dict[int, int], size: int, scratch: Scra
     state = spark.createDataFrame([(i, 0, None, None, None) for i in range(islands)], _ISLAND)
     best = None
     for epoch in range(epochs):
-        grown = state.groupBy("island").applyInPandas(_epoch(counts, size, epoch, members, seed), _ISLAND)
+        grown = state.repartition(islands, "island").groupBy("island").applyInPandas(_epoch(counts, size, epoch, members, seed), _ISLAND)
         grown = scratch.put(grown, f"epoch-{epoch}")
         best = grown.orderBy("n_bins", "member", "island").head()
         if best["n_bins"] <= least:
