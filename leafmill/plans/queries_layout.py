@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geom as G
-from leafmill.operators import chains, splice
+from leafmill.operators import chains, detect, footnotes, splice
 from leafmill.session import cut, ship, table
 
 
@@ -99,7 +99,71 @@ def customer_chains(spark, d):
     return chains.rank(edges, ["o_custkey"], "o_orderkey", "next")
 
 
-QUERIES = {f.__name__: f for f in (page_continuations, continuation_chains, customer_chains, payload_units, payload_sequence, payload_problems, payload_coverage)}
+def _sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """blocks, drawings, pages: an order is a page, its lines are blocks, and each line has a thin drawing and a solid one."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min(F.col("l_quantity").cast("int")).alias("q"))
+    key = [(F.col("l_orderkey") % 5).cast("int").alias("doc_id"), F.col("l_orderkey").alias("page")]
+    n, p, s, q = (F.col(c) for c in ("l_linenumber", "p", "s", "q"))
+    y = (n * 90 + p % 50).cast("double")
+    body = F.concat(F.lit("Block "), p, F.lit(" with text  and more of it"), F.when(p % 2 == 0, F.lit(", long enough to count as prose of the page, whatever it says there")).otherwise(""))
+    text = F.when(p % 7 == 0, F.concat(F.lit("Table "), n, F.lit(" of parts"))).when(p % 3 == 0, F.concat(n, F.lit(" note on part "), p, F.lit("\n"), n + 1, F.lit(". another\nthat goes on"))).otherwise(body)
+    blocks = li.select(*key, n.alias("block_id"), n.alias("ord"), G.box(F.lit(50.0) + q % 3 * 5, y, F.lit(300.0) + q % 3 * 5, y + 30).alias("bbox"), text.alias("text"), F.when(q % 4 == 0, 7.0).otherwise(10.0).alias("font_size"), (s % 17 == 0).alias("furniture"))
+    rule = li.where("l_linenumber <= 2").select(*key, (n * 10).cast("long").alias("drawing_no"), G.box(F.lit(50.0), F.lit(100.0) + n * 100 + s % 3 * 60, F.lit(300.0) + p % 2 * 100, F.lit(101.0) + n * 100 + s % 3 * 60).alias("bbox"))
+    short = li.where("l_linenumber > 2").select(*key, (n * 10).cast("long").alias("drawing_no"), G.box(F.lit(50.0), F.lit(420.0) + q * 4, F.lit(50.0) + p % 20 * 2, F.lit(421.0) + q * 4).alias("bbox"))
+    solid = li.select(*key, (n * 10 + 1).cast("long").alias("drawing_no"), G.box(F.lit(350.0) + p % 200, F.lit(100.0) + s % 10 * 40, F.lit(410.0) + p % 200, F.lit(160.0) + s % 10 * 40).alias("bbox"))
+    return blocks, rule.unionByName(short).unionByName(solid), li.select(*key).distinct().select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+
+
+def footnote_blocks(spark, d):
+    out = footnotes.detect(*_sheets(spark, d))
+    return out.select("page", "block_id", "marked", "has_separator", "font_size", "body_size", "confidence")
+
+
+def footnote_entries(spark, d):
+    blocks, _, _ = _sheets(spark, d)
+    return footnotes.entries(blocks, ["page", "block_id"])
+
+
+def footnote_markers(spark, d):
+    """Numbers in body blocks of a page against the entries of its notes, in order."""
+    blocks, _, _ = _sheets(spark, d)
+    ship(spark)
+    found = footnotes.entries(blocks, ["doc_id", "page", "block_id"]).select("doc_id", "page", (F.col("block_id") * 100 + F.col("entry")).alias("ord"), F.col("marker").alias("label"))
+    markers = blocks.where("text not like '%note%'").select("doc_id", "page", "ord", (F.col("ord") + 1).cast("string").alias("label"))
+    out = footnotes.bind_markers(markers, found)
+    return out.groupBy("doc_id", "page").agg(F.count_if(F.col("marker_ord").isNotNull() & F.col("entry_ord").isNotNull()).alias("n_bound"), F.count_if(F.col("entry_ord").isNull()).alias("n_orphans"), F.count_if(F.col("marker_ord").isNull()).alias("n_missing"))
+
+
+def vector_figures(spark, d):
+    _, drawings, pages = _sheets(spark, d)
+    ship(spark)
+    out = detect.vector_figures(drawings, pages, least=3)
+    return out.select("page", "figure_no", "n_drawings", "n_solid", "area_ratio", "confidence", F.col("bbox.x0").alias("x0"), F.col("bbox.y1").alias("y1"))
+
+
+def grown_figures(spark, d):
+    """Clusters of drawings with the text blocks that their boxes take in, to a fixpoint."""
+    blocks, drawings, pages = _sheets(spark, d)
+    ship(spark)
+    figures = detect.vector_figures(drawings, pages, least=2, share=0.0)
+    return detect.grow(figures, blocks.select("doc_id", "page", "bbox"), 30.0).select("page", "n_figures", "n_labels", F.round("bbox.x0", 3).alias("x0"), F.round("bbox.y0", 3).alias("y0"))
+
+
+def page_tables(spark, d):
+    blocks, drawings, pages = _sheets(spark, d)
+    out = detect.tables(blocks, drawings, pages)
+    return out.select("page", "n_rules", "rows", "columns", F.array_join(F.col("block_ids").cast("array<string>"), ",").alias("block_ids"), F.col("caption_block_id").cast("long").alias("caption_block_id"), F.array_join("signals", ",").alias("signals"), "confidence")
+
+
+def table_lattice(spark, d):
+    """Blocks of a page as cells of a table with spans."""
+    blocks, _, _ = _sheets(spark, d)
+    ship(spark)
+    cells = blocks.select("doc_id", "page", F.lit(0).alias("region"), "ord", G.box(F.col("ord") % 3 * 100.0, F.floor(F.col("ord") / 3) * 30.0, F.col("ord") % 3 * 100.0 + F.when(F.col("ord") == 3, 280.0).otherwise(80.0), F.floor(F.col("ord") / 3) * 30.0 + 20).alias("bbox"))
+    return detect.lattice(cells).groupBy("page").agg(F.max("row_no").alias("rows"), F.max("column_no").alias("columns"), F.count_if(F.col("column_span") > 1).alias("n_spans"), F.count_if("header").alias("n_header"))
+
+
+QUERIES = {f.__name__: f for f in (footnote_blocks, footnote_entries, footnote_markers, vector_figures, grown_figures, page_tables, table_lattice, page_continuations, continuation_chains, customer_chains, payload_units, payload_sequence, payload_problems, payload_coverage)}
 
 _PAY = r"""u AS MATERIALIZED (SELECT doc_id, (i - 1)::BIGINT AS k, (i - 1) // 8 + 1 AS page, (i - 1) % 8 AS r, regexp_replace(lower(line), '[^a-z0-9]', '', 'g') AS t, (i - 1 + doc_id) % 11 = 0 AS stays
     FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
@@ -123,7 +187,32 @@ _FLOW = r"""o AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PAR
       OR (a.x0 >= 612 * 0.45 AND b.x0 <= 612 * 0.25 AND abs(a.x1 - a.x0 - b.x1 + b.x0) <= greatest(28, least(a.x1 - a.x0, b.x1 - b.x0) * 0.18)))
     AND length(a.t) >= 12 AND length(b.t) >= 4 AND NOT regexp_matches(regexp_replace(a.t, '(?:\s*(?:\d{1,3}))+$', ''), '[.!?][”’"'']?$'))"""
 
+_SHEET = r"""sh AS MATERIALIZED (SELECT l_orderkey AS page, l_linenumber::BIGINT AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity::INT) AS q FROM lineitem GROUP BY 1, 2),
+  bl AS MATERIALIZED (SELECT *, 50 + q % 3 * 5 AS x0, 300 + q % 3 * 5 AS x1, n * 90 + p % 50 AS y0, n * 90 + p % 50 + 30 AS y1, CASE WHEN q % 4 = 0 THEN 7 ELSE 10 END AS fs, s % 17 = 0 AS fur,
+    CASE WHEN p % 7 = 0 THEN 'Table ' || n || ' of parts' WHEN p % 3 = 0 THEN n || ' note on part ' || p || chr(10) || (n + 1) || '. another' || chr(10) || 'that goes on'
+      ELSE 'Block ' || p || ' with text  and more of it' || CASE WHEN p % 2 = 0 THEN ', long enough to count as prose of the page, whatever it says there' ELSE '' END END AS t FROM sh),
+  dw AS MATERIALIZED (SELECT page, n * 10 AS no, 50 AS x0, 300 + p % 2 * 100 AS x1, 100 + n * 100 + s % 3 * 60 AS y0, 101 + n * 100 + s % 3 * 60 AS y1 FROM sh WHERE n <= 2
+    UNION ALL SELECT page, n * 10, 50, 50 + p % 20 * 2, 420 + q * 4, 421 + q * 4 FROM sh WHERE n > 2 UNION ALL SELECT page, n * 10 + 1, 350 + p % 200, 410 + p % 200, 100 + s % 10 * 40, 160 + s % 10 * 40 FROM sh)"""
+
 ORACLES = {
+    "footnote_blocks": f"""WITH {_SHEET}, sp AS (SELECT page, min_by(y1, [y0, x0, x1]) AS y1 FROM dw WHERE y1 - y0 <= 2.5 AND (x1 - x0) / 612 <= 0.45 AND y0 / 792 >= 0.6 GROUP BY 1),
+        z AS (SELECT bl.*, coalesce(sp.y1, 792 * 0.6) AS top, sp.y1 IS NOT NULL AS sep FROM bl LEFT JOIN sp USING (page) WHERE NOT fur),
+        bs AS (SELECT page, max_by(fs, [w, fs]) AS body FROM (SELECT page, fs, sum(length(t)) AS w FROM z WHERE y1 <= top AND length(t) >= 80 GROUP BY 1, 2) GROUP BY 1),
+        m AS (SELECT z.*, coalesce(body, 0) AS body, regexp_matches(t, '^\\s*(?:[\\d]{{1,2}}|[*†‡§]|[⁰-⁹]{{1,2}})\\s+\\S') AS mk FROM z LEFT JOIN bs USING (page) WHERE y1 > top AND y0 >= top - 4)
+        SELECT page, n AS block_id, mk AS marked, sep AS has_separator, fs::DOUBLE AS font_size, body::DOUBLE AS body_size, round(0.6 + CASE WHEN mk THEN 0.2 ELSE 0 END + CASE WHEN sep THEN 0.15 ELSE 0 END, 4)::DOUBLE AS confidence FROM m
+        WHERE CASE WHEN sep THEN mk OR body > 0 AND fs <= body * 0.92 ELSE mk AND body > 0 AND fs <= body * 0.92 END""",
+    "footnote_entries": f"""WITH {_SHEET} SELECT page, n AS block_id, 1 AS entry, n::VARCHAR AS marker, 'note on part ' || p AS body FROM bl WHERE p % 3 = 0 AND p % 7 <> 0 UNION ALL SELECT page, n, 2, (n + 1)::VARCHAR, 'another that goes on' FROM bl WHERE p % 3 = 0 AND p % 7 <> 0""",
+    "vector_figures": f"""WITH RECURSIVE {_SHEET}, j AS (SELECT a.page, a.no AS a, b.no AS c FROM dw a JOIN dw b ON a.page = b.page AND a.x0 - 14 <= b.x1 AND a.x1 + 14 >= b.x0 AND a.y0 - 14 <= b.y1 AND a.y1 + 14 >= b.y0),
+        z AS (SELECT page, a, c FROM j UNION SELECT z.page, z.a, j.c FROM z JOIN j ON z.page = j.page AND z.c = j.a), g AS (SELECT page, a, min(c) AS m FROM z GROUP BY 1, 2),
+        f AS (SELECT g.page, m, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, count(*) AS n, count(*) FILTER (least(x1 - x0, y1 - y0) > 2.5) AS solid FROM g JOIN dw ON g.page = dw.page AND g.a = dw.no GROUP BY 1, 2),
+        r AS (SELECT *, ((x1 - x0) * (y1 - y0))::DOUBLE / (612 * 792) AS ratio FROM f)
+        SELECT page, m AS figure_no, n AS n_drawings, solid AS n_solid, round(ratio, 4) AS area_ratio, round(least(0.99, 0.6 + least(n, 60) / 200 + least(ratio, 0.5) * 0.5), 4)::DOUBLE AS confidence, x0::DOUBLE AS x0, y1::DOUBLE AS y1 FROM r WHERE n >= 3 AND ratio >= 0.02 AND solid > 0""",
+    "page_tables": f"""WITH {_SHEET}, ru AS (SELECT a.page, least(a.x0, b.x0) AS x0, greatest(a.x1, b.x1) AS x1, least(a.y0, b.y0) AS y0, greatest(a.y1, b.y1) AS y1 FROM dw a JOIN dw b ON a.page = b.page AND a.no = 10 AND b.no = 20 AND abs(a.x1 - b.x1) <= 6 AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 260),
+        ins AS (SELECT ru.page, list(n::VARCHAR ORDER BY bl.y0, n) AS ids, sum(len(string_split(t, chr(10)))) AS rows_, max(CASE WHEN t LIKE 'Block%' THEN 2 ELSE 1 END) AS cols FROM ru JOIN bl ON ru.page = bl.page AND (bl.y0 + bl.y1) / 2 BETWEEN ru.y0 AND ru.y1 AND (bl.x0 + bl.x1) / 2 BETWEEN ru.x0 - 6 AND ru.x1 + 6 GROUP BY 1),
+        cp AS (SELECT ru.page, min_by(n, [ru.y0 - bl.y1, -n]) AS c FROM ru JOIN bl ON ru.page = bl.page AND p % 7 = 0 AND ru.y0 - bl.y1 BETWEEN 0 AND 60 GROUP BY 1)
+        SELECT page, 2::BIGINT AS n_rules, rows_::BIGINT AS rows, cols::BIGINT AS columns, array_to_string(ids, ',') AS block_ids, c AS caption_block_id, 'horizontal-rules' || CASE WHEN c IS NOT NULL THEN ',table-caption' ELSE '' END || CASE WHEN cols >= 2 THEN ',multi-column-text' ELSE '' END AS signals,
+          round(least(0.97, 0.72 + CASE WHEN c IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN cols >= 2 THEN 0.05 ELSE 0 END), 4)::DOUBLE AS confidence FROM ins LEFT JOIN cp USING (page)
+        UNION ALL SELECT page, 0, 0, 0, n::VARCHAR, n, 'table-caption-only', 0.45 FROM bl WHERE p % 7 = 0 AND NOT EXISTS (SELECT 1 FROM ru JOIN ins USING (page) WHERE ru.page = bl.page AND bl.y1 BETWEEN ru.y0 - 60 AND ru.y1)""",
     "page_continuations": f"WITH {_FLOW} SELECT * FROM ct",
     "continuation_chains": f"""WITH RECURSIVE {_FLOW}, ch AS (SELECT doc_id, unit_id, unit_id AS head, 0::BIGINT AS pos FROM ct WHERE NOT EXISTS (SELECT 1 FROM ct c WHERE c.doc_id = ct.doc_id AND c.next_id = ct.unit_id)
         UNION ALL SELECT ch.doc_id, ct.next_id, head, pos + 1 FROM ch JOIN ct ON ct.doc_id = ch.doc_id AND ct.unit_id = ch.unit_id) SELECT doc_id, unit_id, head, pos AS "at" FROM ch""",
