@@ -47,14 +47,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as written under spark.checkpoint.dir: evaluated once, whatever becomes of executors. A folder of its own only where that is unset and all runs in one process."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A folder of its own only where that is unset and all runs in one process."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         path = context.getConf().get("spark.checkpoint.dir")
         if not path and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
+    return (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as written in the shared folder: evaluated once, whatever becomes of executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
