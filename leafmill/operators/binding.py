@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import geom as G
 from leafmill.functions import text as X
+from leafmill.operators import needles as minimizers
 
 KEYS = ("doc_id", "page")
 
@@ -105,8 +106,8 @@ SMALL_CHARS = 20_000_000
 def find_needles(texts: DataFrame, key: str, text: Column, needles: DataFrame) -> DataFrame:
     """key, needle: the distinct needles that stand somewhere in each text. needles: one column `needle`; empty ones are left out.
 
-    Up to `SMALL` needles go to every executor as one automaton, which reads each text once and needs no shuffle. More are met by equality:
-    texts cut at every position, once for each length of a needle.
+    Up to `SMALL` needles go to every executor as one automaton, which reads each text once and needs no shuffle. More are met by equality of
+    minimizers (`needles.find`), whatever their number and lengths.
     """
     wanted = needles.select("needle").where("needle <> ''").distinct()
     size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("needle")), F.lit(0)).alias("chars")).first()
@@ -131,16 +132,7 @@ def find_needles(texts: DataFrame, key: str, text: Column, needles: DataFrame) -
                 yield pd.DataFrame({key: pd.Series(ids, dtype=pdf[key].dtype), "needle": pd.Series(found, dtype="object")})
 
         return v.mapInPandas(scan, f"`{key}` {dict(v.dtypes)[key]}, needle string")
-    piece = 80  # a substring is found by counting characters from the start
-    out = None
-    for (n,) in wanted.select(F.char_length("needle").alias("n")).distinct().collect():
-        starts = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("v") - n, F.lit(0)) / piece)))
-        part = v.select(key, "v", starts.alias("p")).select(key, F.substr("v", (F.col("p") * piece + 1).cast("int"), F.lit(piece + n - 1)).alias("v"))
-        spots = F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("v") - n + 1, F.lit(1))))
-        grams = part.select(key, "v", spots.alias("i")).select(key, F.substr("v", F.col("i"), F.lit(n)).alias("needle"))
-        hit = grams.join(wanted.where(F.char_length("needle") == n), "needle", "left_semi").select(key, "needle")
-        out = hit if out is None else out.unionByName(hit)
-    return out.distinct()
+    return minimizers.find(v, [key], F.col("v"), wanted)
 
 
 def contains_probes(items: DataFrame, pages: DataFrame, item_id: str, page_id: str, size: int = 24, most: int = 6) -> DataFrame:

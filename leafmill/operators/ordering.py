@@ -247,7 +247,7 @@ def rank_with_budget(rows: DataFrame, by: list[str], order: list, budget: int) -
         counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
         before = counts.withColumn("_before", F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("_range", "_before")
         within = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-        out = within.join(F.broadcast(before), "_range").withColumn("rank", (F.col("rank") + F.coalesce("_before", F.lit(0))).cast("int")).drop("_range", "_before")
+        out = within.join(F.broadcast(before), "_range").withColumn("rank", (F.col("rank") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_range", "_before")
     return out.withColumn("selected", F.col("rank") <= budget)
 
 

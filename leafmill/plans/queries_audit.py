@@ -132,7 +132,7 @@ def stage_totals(spark, d):
 
 
 def repair_tasks(spark, d):
-    e = table(spark, d, "events").where("event_id % 4 = 0")
+    e = table(spark, d, "events")
     t = gates.repair_tasks(e, ["user_id"], F.col("event_type"), F.col("event_id") % 5)
     return t.select("user_id", "priority", F.array_join("actions", ",").alias("actions"), "n_flags")
 
@@ -260,7 +260,7 @@ ORACLES = {
     "body_font_pages": """WITH s AS (SELECT l_orderkey AS page, (l_quantity % 4)::DOUBLE AS size, l_suppkey AS chars FROM lineitem), k AS (SELECT size FROM s GROUP BY 1 ORDER BY sum(chars) DESC, size DESC LIMIT 1),
         g AS (SELECT page, coalesce(sum(chars) FILTER (abs(s.size - k.size) <= 0.25), 0) AS near, sum(chars) AS chars FROM s, k GROUP BY 1) SELECT page, near::BIGINT AS near, chars::BIGINT AS chars FROM g WHERE near < greatest(24, 0.2 * chars)""",
     "stage_totals": "SELECT event_type AS stage, count(*) AS calls, round(sum(value), 4) AS total, count(*) FILTER (event_id % 9 = 0) AS errors FROM events GROUP BY 1",
-    "repair_tasks": "SELECT user_id, min(event_id % 5) AS priority, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS actions, count(*) AS n_flags FROM events WHERE event_id % 4 = 0 GROUP BY 1",
+    "repair_tasks": "SELECT user_id, min(event_id % 5) AS priority, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS actions, count(*) AS n_flags FROM events GROUP BY 1",
     "reference_state": """WITH c AS (SELECT *, turn = conv_id % 4 AS head FROM conversations), s AS (SELECT *, bool_or(head) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM c)
         SELECT conv_id AS doc_id, turn, CASE WHEN head THEN 'reference-heading' WHEN role = 'assistant' THEN CASE WHEN seen THEN 'reference-entry' ELSE 'body' END ELSE 'table' END AS type FROM s""",
     "title_candidate": f"WITH {_BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, ord, block_id) AS n FROM b) SELECT page AS doc_id, block_id FROM r WHERE n = 1 AND y0 < 75",

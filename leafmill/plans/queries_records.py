@@ -126,9 +126,9 @@ def set_reconciliation(spark, d):
 
 
 def round_diff(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("y"))
-    years = o.agg(F.min("y").alias("a")).first()["a"]
-    return reconcile.compare_rounds(o.where(F.col("y") == years).select("id"), o.where(F.col("y") == years + 1).select("id"), ["id"])
+    """Customers with orders that are not open, before; with orders that are not filled, after."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderstatus")
+    return reconcile.compare_rounds(o.where("o_orderstatus <> 'O'").select("id"), o.where("o_orderstatus <> 'F'").select("id"), ["id"])
 
 
 def duplicate_ids(spark, d):
@@ -136,15 +136,16 @@ def duplicate_ids(spark, d):
 
 
 def batch_results(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("unit_id"))
-    li = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("unit_id"))
+    """Orders as units; each line is a result, returned ones under an id that no unit has."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("unit_id"))
+    li = table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey")).alias("unit_id"))
     return reconcile.batch_results(o, li).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def render_contract(spark, d):
     o = table(spark, d, "orders")
     source = o.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") > 100000).alias("required"))
-    plan = o.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("id")).unionByName(o.limit(0).select(F.col("o_orderkey").alias("id")))
+    plan = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"))
     cand = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_returnflag") != "R").alias("located"), F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("omit_reason"))
     return reconcile.contract(source, plan, cand, ["F"]).groupBy("code").agg(F.count("*").alias("n"))
 
@@ -156,27 +157,32 @@ def plan_execution(spark, d):
 
 def visual_gate(spark, d):
     ev = table(spark, d, "events")
-    req = ev.where("event_id % 3 = 0").select(F.col("user_id").alias("page"), F.col("event_type").alias("element_id"), F.lit("check").alias("code"))
-    given = ev.where("event_id % 3 = 1").select(F.col("user_id").alias("page"), F.col("event_type").alias("element_id"), F.lit("check").alias("code"), F.when(F.col("value") > 5, "pass").otherwise("fail").alias("answer"))
+    req = ev.select(F.col("user_id").alias("page"), F.col("event_type").alias("element_id"), F.lit("check").alias("code"))
+    named = F.when(F.col("value") > 9, "other").otherwise(F.col("event_type"))
+    given = ev.select(F.col("user_id").alias("page"), named.alias("element_id"), F.lit("check").alias("code"), F.when(F.col("value") > 5, "pass").otherwise("fail").alias("answer"))
     return reconcile.answer_problems(req, given, ["page", "element_id", "code"]).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 def followup_pages(spark, d):
-    pages = _blocks(spark, d).groupBy("doc_id", "page").agg(F.min("kind").alias("type"))
-    changed = pages.where("page % 997 = 0").select("doc_id", "page")
+    """Pages of one block of kind R have changed; their neighbours and pages of their types follow."""
+    pages = _blocks(spark, d).groupBy("doc_id", "page").agg(F.min("kind").alias("type"), F.count("*").alias("n"))
+    changed = pages.where("n = 1 and type = 'R'").select("doc_id", "page")
+    pages = pages.drop("n")
     out = reconcile.followup_pages(changed, pages)
     return out.agg(F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"))
 
 
 def merge_terms(spark, d):
-    p = table(spark, d, "part").select(F.col("p_brand").alias("source"), F.col("p_type").alias("target"), "p_partkey")
-    one = lambda f: p.where(f).groupBy("source").agg(F.min("target").alias("target"))
-    return reconcile.merge_terms(one("p_partkey % 2 = 0"), one("p_partkey % 5 = 1"))
+    """Brands and their first type as known terms; types and their first brand, and brands of large parts with their last type, as new ones."""
+    p = table(spark, d, "part")
+    old = p.groupBy(F.col("p_brand").alias("source")).agg(F.min("p_type").alias("target"))
+    new = p.groupBy(F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise(F.col("p_type")).alias("source")).agg(F.max(F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.col("p_brand"))).alias("target"))
+    return reconcile.merge_terms(old, new)
 
 
 def carry_forward(spark, d):
     ev = table(spark, d, "events")
-    kind = F.when(F.col("event_type") == ev.select(F.min("event_type")).first()[0], F.col("event_id"))
+    kind = F.when(F.col("event_type") == "click", F.col("event_id"))
     return elements.carry_forward(ev, ["user_id"], ["ts", "event_id"], kind, "last_seen").select("event_id", "last_seen")
 
 
@@ -290,25 +296,25 @@ ORACLES = {
     "type_tally": """WITH o AS (SELECT o_orderstatus, o_totalprice > 50000 AS req, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS loc FROM orders)
         SELECT o_orderstatus, count(*) AS source, count(*) FILTER (loc) AS located, count(*) FILTER (req) AS required, count(*) FILTER (req AND NOT loc) AS missing_required, count(*) FILTER (loc) / count(*) AS coverage FROM o GROUP BY 1""",
     "set_reconciliation": """WITH k AS (SELECT o_orderkey AS k, 1 AS a, 0 AS b FROM orders UNION ALL SELECT l_orderkey, 0, 1 FROM lineitem), g AS (SELECT k, max(a) = 1 AS ordered, max(b) = 1 AS lined FROM k GROUP BY k) SELECT ordered, lined, count(*) AS n FROM g GROUP BY 1, 2""",
-    "round_diff": """WITH y AS (SELECT o_custkey AS id, year(o_orderdate) - min(year(o_orderdate)) OVER () AS y FROM orders), g AS (SELECT id, bool_or(y = 0) AS a, bool_or(y = 1) AS b FROM y WHERE y <= 1 GROUP BY id)
+    "round_diff": """WITH g AS (SELECT o_custkey AS id, bool_or(o_orderstatus <> 'O') AS a, bool_or(o_orderstatus <> 'F') AS b FROM orders GROUP BY 1)
         SELECT id, CASE WHEN a AND b THEN 'still' WHEN a THEN 'fixed' ELSE 'regression' END AS fate FROM g""",
     "duplicate_ids": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
-    "batch_results": """WITH e AS (SELECT DISTINCT o_orderkey AS u FROM orders WHERE o_orderkey % 7 <> 0), r AS (SELECT l_orderkey AS u, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+    "batch_results": """WITH e AS (SELECT DISTINCT o_orderkey AS u FROM orders), r AS (SELECT CASE WHEN l_returnflag = 'R' THEN -l_orderkey - 1 ELSE l_orderkey END AS u, count(*) AS n FROM lineitem GROUP BY 1),
         j AS (SELECT CASE WHEN r.u IS NULL THEN 'missing' WHEN e.u IS NULL THEN 'foreign' WHEN n > 1 THEN 'duplicate' END AS code FROM e FULL JOIN r ON e.u = r.u) SELECT code, count(*) AS n FROM j WHERE code IS NOT NULL GROUP BY 1""",
-    "render_contract": """WITH s AS (SELECT o_orderkey AS id, o_totalprice > 100000 AS req FROM orders), p AS (SELECT DISTINCT id FROM s WHERE id % 11 <> 0),
+    "render_contract": """WITH s AS (SELECT o_orderkey AS id, o_totalprice > 100000 AS req FROM orders), p AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P'),
         c AS (SELECT l_orderkey AS id, l_returnflag <> 'R' AS loc, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS why FROM lineitem), f AS (
         SELECT DISTINCT 'UNSOURCED_PLAN' AS code, id FROM p WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT DISTINCT 'UNPLANNED', id FROM s WHERE req AND id NOT IN (SELECT id FROM p)
         UNION ALL SELECT DISTINCT 'UNKNOWN_CANDIDATE', id FROM c WHERE id NOT IN (SELECT id FROM s)
         UNION ALL SELECT DISTINCT 'MISSING', id FROM s WHERE req AND id NOT IN (SELECT id FROM c WHERE loc) AND id NOT IN (SELECT id FROM c WHERE why = 'F')
         UNION ALL SELECT 'DUPLICATE', id FROM c GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'ILLEGAL_OMISSION', id FROM c WHERE why <> 'F') SELECT code, count(*) AS n FROM f GROUP BY code""",
     "plan_execution": """WITH a AS (SELECT (SELECT count(*) FROM orders) AS planned, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS applied, (SELECT count(*) FROM orders) AS document, 0::BIGINT AS pending) SELECT *, planned = applied AND applied = document AND pending = 0 AS agrees FROM a""",
-    "visual_gate": """WITH r AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0), g AS (SELECT user_id, event_type, count(*) AS n, bool_and(value > 5) AS ok FROM events WHERE event_id % 3 = 1 GROUP BY 1, 2),
+    "visual_gate": """WITH r AS (SELECT DISTINCT user_id, event_type FROM events), g AS (SELECT user_id, CASE WHEN value > 9 THEN 'other' ELSE event_type END AS event_type, count(*) AS n, bool_and(value > 5) AS ok FROM events GROUP BY 1, 2),
         j AS (SELECT CASE WHEN n IS NULL THEN 'incomplete' WHEN r.user_id IS NULL THEN 'unknown' WHEN n > 1 THEN 'duplicate' WHEN NOT ok THEN 'fail' END AS problem FROM r FULL JOIN g ON r.user_id = g.user_id AND r.event_type = g.event_type) SELECT problem, count(*) AS n FROM j GROUP BY 1""",
-    "followup_pages": f"""WITH {_BLOCKS}, p AS (SELECT page, min(kind) AS type FROM b GROUP BY 1), c AS (SELECT page FROM p WHERE page % 997 = 0), n AS (SELECT page - 1 AS page FROM c UNION SELECT page FROM c UNION SELECT page + 1 FROM c UNION SELECT page FROM p WHERE type IN (SELECT type FROM p WHERE page % 997 = 0))
+    "followup_pages": f"""WITH {_BLOCKS}, p AS (SELECT page, min(kind) AS type, count(*) AS n FROM b GROUP BY 1), c AS (SELECT page FROM p WHERE n = 1 AND type = 'R'), n AS (SELECT page - 1 AS page FROM c UNION SELECT page FROM c UNION SELECT page + 1 FROM c UNION SELECT page FROM p WHERE type IN (SELECT type FROM p WHERE n = 1 AND type = 'R'))
         SELECT count(*) AS n, min(page) AS lo, max(page) AS hi FROM n WHERE page IN (SELECT page FROM p)""",
-    "merge_terms": """WITH o AS (SELECT p_brand AS source, min(p_type) AS target FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), n AS (SELECT p_brand AS source, min(p_type) AS target FROM part WHERE p_partkey % 5 = 1 GROUP BY 1)
+    "merge_terms": """WITH o AS (SELECT p_brand AS source, min(p_type) AS target FROM part GROUP BY 1), n AS (SELECT CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS source, max(CASE WHEN p_size > 25 THEN p_type ELSE p_brand END) AS target FROM part GROUP BY 1)
         SELECT coalesce(n.source, o.source) AS source, coalesce(n.target, o.target) AS target FROM o FULL JOIN n ON o.source = n.source""",
-    "carry_forward": """WITH e AS (SELECT *, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN event_id END AS k FROM events) SELECT event_id, last_value(k IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_seen FROM e""",
+    "carry_forward": """WITH e AS (SELECT *, CASE WHEN event_type = 'click' THEN event_id END AS k FROM events) SELECT event_id, last_value(k IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_seen FROM e""",
     "gap_islands": """WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s FROM events), n AS (SELECT user_id, CASE WHEN lag(s) OVER w IS NULL OR s - lag(s) OVER w > 3600 THEN 1 ELSE 0 END AS x FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)) SELECT user_id, sum(x)::BIGINT AS n_islands FROM n GROUP BY 1""",
     "risk_rank_budget": """WITH s AS (SELECT user_id, round(sum(value), 2) AS score FROM events GROUP BY 1), r AS (SELECT user_id, row_number() OVER (ORDER BY score DESC, user_id) AS rank FROM s) SELECT *, rank <= 6 AS selected FROM r""",
     "risk_scores": """WITH w(k, x) AS (VALUES (0, 10.0), (1, 9.0), (2, 7.0), (3, 6.0), (4, 5.0)) SELECT user_id, round(sum(x)::DOUBLE, 2) AS score, count(DISTINCT event_type) AS n_elements FROM events JOIN w ON event_id % 5 = k GROUP BY user_id""",
