@@ -189,9 +189,35 @@ def cache_rounds(spark, d):
     return cache.lookup(k, kept).select("conv_id", "hit", "results")
 
 
+def audited_pages(spark, d):
+    """Lengths of pages as the audit counts them: references apart, translations against sources."""
+    p = audit.page_audit(_units(spark, d), F.lit("en"), F.lit("zh"))
+    return p.select("doc_id", "page", "reference_page", "source_chars", "translation_chars", "ratio", F.array_contains(F.flatten(F.array(F.col("flags"))), "DOI_LOSS").alias("lost_doi"))
+
+
+def drifted_pages(spark, d):
+    """Parts of a supplier's lines by line number as anchors of pages; what the page after has is shifted for half of the suppliers."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page"), (F.col("l_partkey") % 60).cast("string").alias("a"))
+    near = li.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("page") + 1).otherwise(F.col("page")).alias("page"), "a")
+    anchors = li.groupBy("doc_id", "page").agg(F.collect_set("a").alias("anchors"))
+    held = near.groupBy("doc_id", "page").agg(F.collect_set("a").alias("target_anchors"))
+    both = anchors.join(held, ["doc_id", "page"], "full")
+    none = F.array().cast("array<string>")
+    return audit.mapping_drift(both.withColumn("anchors", F.coalesce("anchors", none)).withColumn("target_anchors", F.coalesce("target_anchors", none)))
+
+
+def audit_states(spark, d):
+    """Documents as audited pages of their sources: short ones are flagged for repair."""
+    docs = table(spark, d, "documents")
+    flags = F.when(F.col("n_chars") < 400, F.array(F.lit("SEVERE_TRANSLATION_COMPRESSION"))).when(F.col("lang") == "de", F.array(F.lit("URL_LOSS"))).otherwise(F.array().cast("array<string>"))
+    pages = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), flags.alias("flags"), F.coalesce("n_chars", F.lit(0)).alias("source_chars"), F.round(F.col("n_chars") / 3000, 3).alias("ratio"), (F.col("lang") == "es").alias("reference_page"))
+    return audit.audit_status(pages.withColumn("reference_page", F.coalesce("reference_page", F.lit(False))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        audited_pages, drifted_pages, audit_states,
         unit_audit, level_audit, coverage_audit, reference_pages, paginate, full_binding, column_signal, profile_columns, cluster_boxes_sizes, page_findings, body_font_pages,
         stage_totals, repair_tasks, reference_state, title_candidate, table_notes, blank_ratios, visual_rebuilds, batch_cache_keys, cache_rounds,
     )
@@ -231,6 +257,15 @@ _PAGE_METRICS = """m AS (SELECT o_orderkey AS page, o_orderkey AS k FROM orders)
     CASE WHEN k % 400 >= 120 AND k % 5 BETWEEN 1 AND 2 AND k % 4 >= 2 THEN 'BODY_WIDTH_COLLAPSE_VS_SOURCE:H' END, CASE WHEN k % 3 > 0 AND k % 7 <> 0 AND k % 9 <> 0 THEN 'ORPHAN_SINGLE_HAN_LINE:H' END], lambda x: x IS NOT NULL)) AS code FROM m)"""
 
 ORACLES = {
+    "audited_pages": f"""WITH {_AUDIT}, ent AS (SELECT *, starts_with(kind, 'reference') OR starts_with(kind, 'bibliography') OR (said = '' AND code = 'bibliography-entry') AS entry FROM w),
+        pgs AS (SELECT doc_id, page, coalesce(sum(chars), 0) AS n, coalesce(sum(chars) FILTER (entry), 0) AS k, coalesce(sum(chars) FILTER (NOT entry), 0) AS s, coalesce(sum(len(regexp_extract_all(said, '[\\p{{L}}\\p{{N}}_]'))) FILTER (NOT entry AND said <> ''), 0) AS t FROM ent GROUP BY 1, 2)
+        SELECT doc_id, page, n > 0 AND k / n >= 0.9 AS reference_page, s::BIGINT AS source_chars, t::BIGINT AS translation_chars, CASE WHEN s > 0 THEN round(t / s, 3) END AS ratio, false AS lost_doi FROM pgs""",
+    "drifted_pages": """WITH a AS (SELECT DISTINCT l_suppkey AS d, l_linenumber::BIGINT AS p, l_partkey % 60 AS x FROM lineitem), t AS (SELECT DISTINCT d, CASE WHEN d % 2 = 0 THEN p + 1 ELSE p END AS p, x FROM a),
+        k AS (SELECT d, p FROM a UNION SELECT d, p FROM t), s AS (SELECT k.d, k.p, q.p AS at_, (SELECT count(*) FROM a JOIN t ON a.d = t.d AND a.x = t.x WHERE a.d = k.d AND a.p = k.p AND t.p = q.p) AS n FROM k JOIN k q ON k.d = q.d AND abs(k.p - q.p) <= 1),
+        g AS (SELECT d, p, coalesce(max(n) FILTER (at_ = p), 0) AS score, max(n) FILTER (at_ <> p) AS bn, min_by(at_, [-n, at_]) FILTER (at_ <> p) AS b FROM s GROUP BY 1, 2)
+        SELECT d AS doc_id, p AS page, score, b AS neighbour, bn AS neighbour_score FROM g WHERE bn >= score + 3 AND bn >= greatest(5.0, score * 1.5)""",
+    "audit_states": """SELECT source AS doc_id, count(*) AS n_pages, count_if(coalesce(n_chars < 400, false) OR coalesce(lang = 'de', false))::BIGINT AS n_flagged, count_if(coalesce(n_chars < 400, false))::BIGINT AS n_repair,
+        median(CASE WHEN NOT coalesce(lang = 'es', false) AND n_chars >= 600 AND round(n_chars / 3000, 3) > 0 THEN round(n_chars / 3000, 3) END) AS median_ratio FROM documents GROUP BY 1""",
     "unit_audit": f"WITH {_AUDIT} SELECT doc_id, unit_id, state, problem, chars, target, residual FROM w",
     "level_audit": f"WITH {_AUDIT} SELECT level, doc_id, batch, n_units, translated, kept, invalid, round(ratio, 9) AS ratio, round(kept_ratio, 9) AS kept_ratio, problems FROM e",
     "coverage_audit": f"""WITH {_AUDIT}, q AS (SELECT doc_id, problem AS code FROM w WHERE problem IS NOT NULL UNION SELECT doc_id, unnest(string_split(problems, ',')) FROM e WHERE problems <> ''),
