@@ -142,21 +142,21 @@ def cluster_boxes(drawings: DataFrame, grow: float = 14.0) -> DataFrame:
 def rule_groups(rules: DataFrame, x_slack: float = 6.0, most_gap: float = 260.0) -> DataFrame:
     """First-fit: a rule joins the first group whose first rule has its x range (within slack) and whose last is near; groups of two or more stay."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        for i, b in sorted(((i, b) for i, b in enumerate(pdf["bbox"])), key=lambda t: (t[1]["y0"], t[1]["x0"])):
+    def page(rows: list[tuple]) -> list[tuple]:
+        boxes, groups = [b for _, b in rows], []
+        for i in sorted(range(len(boxes)), key=lambda i: (boxes[i]["y0"], boxes[i]["x0"], i)):
+            b = boxes[i]
             for g in groups:
-                head, last = pdf["bbox"][g[0]], pdf["bbox"][g[-1]]
+                head, last = boxes[g[0]], boxes[g[-1]]
                 if abs(head["x0"] - b["x0"]) <= x_slack and abs(head["x1"] - b["x1"]) <= x_slack and b["y0"] - last["y1"] <= most_gap:
                     g.append(i)
                     break
             else:
                 groups.append([i])
-        rows = [(pdf["doc_id"][i], pdf["page"][i], pdf["drawing_no"][i], n) for n, g in enumerate(x for x in groups if len(x) >= 2) for i in g]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "drawing_no", "rule_group"])
+        found = {i: n for n, g in enumerate(x for x in groups if len(x) >= 2) for i in g}
+        return [(found.get(i, -1),) for i in range(len(rows))]
 
-    schema = ", ".join(f"{c} {t}" for c, t in rules.select("doc_id", "page", "drawing_no").dtypes) + ", rule_group long"
-    return rules.groupBy("doc_id", "page").applyInPandas(lambda pdf: page(pdf.reset_index(drop=True)), schema)
+    return _each(rules.where("bbox is not null"), ["doc_id", "page"], ["bbox"], "drawing_no", page, "rule_group long").where("rule_group >= 0")
 
 
 def pack(items: DataFrame, by: str, most_items: int = 20, most_chars: int = 12_000, soft_items: int = 8, soft_chars: int = 10_000) -> DataFrame:
