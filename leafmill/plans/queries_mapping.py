@@ -140,6 +140,7 @@ ORACLES = {
         CASE WHEN method = 'no-locatable-evidence' AND required THEN 'required-without-evidence' END], lambda x: x IS NOT NULL)) AS code FROM mp
         UNION ALL SELECT DISTINCT doc_id, NULL::BIGINT, 'visual-missing' FROM mp WHERE kind IN (0, 2, 3) AND len(pages) = 0""",
     "mapping_summary": f"""WITH {_MAP} SELECT doc_id, count(*) AS n_elements, count_if(len(pages) > 0)::BIGINT AS n_located, count_if(len(pages) = 0)::BIGINT AS n_missing, count_if(len(pages) = 0 AND required)::BIGINT AS n_missing_required, count_if(len(pages) = 0 AND required) = 0 AS complete FROM mp GROUP BY 1""",
+    "mapping_drifted": f"WITH {_MAP} SELECT doc_id, 'candidate_pages' AS field, count(*) AS n FROM mp WHERE doc_id % 2 = 1 AND len(pages) > 0 GROUP BY 1",
     "benchmark_passages": """WITH n AS (SELECT DISTINCT needle FROM (SELECT unnest([substr(text, 1, 60), substr(text, 3, 10), substr(text, 5, 3)]) AS needle FROM benchmark) WHERE needle <> '')
         SELECT needle, count(*) AS n_docs, min(doc_id) AS "first" FROM n JOIN documents ON contains(text, needle) GROUP BY 1""",
 }
