@@ -12,7 +12,8 @@ Each match of the split pattern is encoded separately; results for white-space s
 memorised in a table of bounded size, which changes no result.
 
 Defined results: null text encodes as the empty text; the empty text gives no ids; invalid UTF-8 cannot occur
-in a string column, and `Utf8Stream` replaces it as Python's decoder does.
+in a string column, and `Utf8Stream` replaces it as Python's decoder does; rows with null or repeated ids are
+encoded one by one and other columns pass through; an empty table gives an empty result; a text is held whole.
 """
 
 from __future__ import annotations
