@@ -5,13 +5,15 @@ drawings: doc_id, page, drawing_no, bbox. blocks: doc_id, page, block_id, ord, b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import geom as G
 from leafmill.functions import text as X
-from leafmill.operators import binding, corpus, ordering
-from leafmill.session import cut
+from leafmill.operators import binding, boxes, corpus, ordering
 
 # Gaps, thicknesses and least sizes in points, confidences.
 GAP, LINE, LEAST_DRAWINGS, LEAST_SHARE = 14.0, 2.5, 6, 0.02
@@ -35,34 +37,28 @@ def vector_figures(drawings: DataFrame, pages: DataFrame, gap: float = GAP, leas
     return f.select(*PAGE, "figure_no", "bbox", "n_drawings", "n_solid", F.round("_ratio", 4).alias("area_ratio"), F.round(sure, 4).alias("confidence"))
 
 
-def grow(figures: DataFrame, labels: DataFrame, gap: float = 0.0, cell: float = 128.0) -> DataFrame:
+def grow(figures: DataFrame, labels: DataFrame, gap: float = 0.0) -> DataFrame:
     """doc_id, page, region, bbox, n_figures, n_labels: figures grown to a fixpoint. A region takes in every label and region that its box, grown by `gap`, meets.
 
-    figures: doc_id, page, bbox; labels: doc_id, page, bbox. Boxes meet through cells of a grid, not all pairs of a page; each round is a join and a grouped
-    union, so the result does not depend on the order of rows. A label that no region meets stays out. Rounds: each merges every region that meets another.
+    figures: doc_id, page, bbox; labels: doc_id, page, bbox. Equal boxes of a page are summed first. What regions take in never leaves their page, so one shuffle
+    brings a page together and the rounds run on whole batches of pages; the result does not depend on the order of rows. A label that no region meets stays out.
     """
-    lo = lambda c: F.floor((F.col(f"bbox.{c}") - gap) / cell)
-    hi = lambda c: F.floor((F.col(f"bbox.{c}") + gap) / cell)
-    cells = F.explode(F.flatten(F.transform(F.sequence(lo("x0"), hi("x1")), lambda x: F.transform(F.sequence(lo("y0"), hi("y1")), lambda y: F.struct(x.alias("cx"), y.alias("cy"))))))
     parts = figures.select(*PAGE, "bbox", F.lit(1).alias("f"), F.lit(0).alias("l")).unionByName(labels.select(*PAGE, "bbox", F.lit(0).alias("f"), F.lit(1).alias("l"))).where("bbox is not null")
-    same = parts.groupBy(*PAGE, "bbox").agg(F.sum("f").cast("long").alias("n_figures"), F.sum("l").cast("long").alias("n_labels"))
-    state = cut(same)
-    while True:
-        grid = state.withColumn("cell", cells)
-        a, b = grid.alias("a"), grid.alias("b")
-        on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*PAGE, "cell")] + [F.col("a.bbox") != F.col("b.bbox"), G.touches(F.col("a.bbox"), F.col("b.bbox"), gap), (F.col("a.n_figures") > 0) | (F.col("b.n_figures") > 0)]
-        # a label leads nobody; every other box follows the least region that it meets, if that comes before itself
-        to = F.min(F.when(F.col("b.n_figures") > 0, F.col("b.bbox")))
-        met = a.join(b, on).groupBy("a.doc_id", "a.page", F.col("a.bbox").alias("bbox")).agg(to.alias("to"))
-        own = state.join(met, [*PAGE, "bbox"], "left")
-        lead = F.when(F.col("to").isNull(), F.col("bbox")).when(F.col("n_figures") == 0, F.col("to")).otherwise(F.least("bbox", "to"))
-        box = F.struct(F.min("bbox.x0").alias("x0"), F.min("bbox.y0").alias("y0"), F.max("bbox.x1").alias("x1"), F.max("bbox.y1").alias("y1")).alias("bbox")
-        merged = own.withColumn("lead", lead).groupBy(*PAGE, "lead").agg(box, F.sum("n_figures").alias("n_figures"), F.sum("n_labels").alias("n_labels"))
-        nxt = cut(merged.groupBy(*PAGE, "bbox").agg(F.sum("n_figures").alias("n_figures"), F.sum("n_labels").alias("n_labels")))
-        if nxt.count() == state.count():
-            break
-        state = nxt
-    return nxt.where("n_figures > 0").select(*PAGE, F.concat_ws(":", *[F.bround(F.col(f"bbox.{k}"), 2) for k in ("x0", "y0", "x1", "y1")]).alias("region"), "bbox", "n_figures", "n_labels")
+    same = parts.groupBy(*PAGE, "bbox").agg(F.sum("f").cast("long").alias("f"), F.sum("l").cast("long").alias("l"))
+    pages = same.groupBy(*PAGE).agg(F.collect_list(F.struct("bbox", "f", "l")).alias("_rows")).where(F.exists("_rows", lambda r: r["f"] > 0))
+    types = dict(pages.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, group = ordering._groups(batch)
+            count = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("f", "l")]
+            group, box, f, n = boxes.grown(group, boxes.sides(flat.field("bbox")), *count, gap)
+            kept = f > 0
+            keys = [batch.column(c).take(pa.array(group[kept])) for c in PAGE]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, box[:, kept]), pa.array(f[kept]), pa.array(n[kept])], [*PAGE, *boxes.SIDES, "n_figures", "n_labels"])
+
+    out = pages.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in PAGE) + ", x0 double, y0 double, x1 double, y1 double, n_figures long, n_labels long")
+    return out.select(*PAGE, F.concat_ws(":", *[F.bround(F.col(k), 2) for k in boxes.SIDES]).alias("region"), F.struct(*boxes.SIDES).alias("bbox"), "n_figures", "n_labels")
 
 
 def rules(drawings: DataFrame) -> DataFrame:
@@ -158,7 +154,7 @@ def lattice(cells: DataFrame, row_gap: float = 4.0, column_gap: float = 6.0, tal
     """
 
     def region(rows: list[tuple]) -> list[tuple]:
-        return _lattice([(b["x0"], b["y0"], b["x1"], b["y1"]) for _, b in rows], row_gap, column_gap, tall)
+        return _lattice([b for _, b in rows], row_gap, column_gap, tall)
 
     added = "row_no int, row_span int, column_no int, column_span int, header boolean"
     return ordering._each(cells.where("bbox is not null"), ["doc_id", "page", "region"], ["bbox"], "ord", region, added)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import arrow as A
+from leafmill.operators import boxes
 from leafmill.session import cut
 
 
@@ -90,65 +91,74 @@ def union_length(rows: DataFrame, by: list[str], start: Column, end: Column) ->
     return one.groupBy(*by).agg(F.sum("length").alias("length"), F.count("*").alias("n_islands"))
 
 
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _values(a: pa.Array) -> list:
+    """Of a box its four sides."""
+    return list(zip(*(a.field(c).to_pylist() for c in boxes.SIDES), strict=True)) if pa.types.is_struct(a.type) else a.to_pylist()
+
+
+def _grouped(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_rows"))
+
+
+def _groups(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """The rows of all groups of a batch, and the place of each one's group."""
+    column = batch.column("_rows")
+    return column.flatten(), np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
 def _each(rows: DataFrame, by: list[str], columns: list[str], order: str, step, added: str) -> DataFrame:
-    """by, order and the columns of `added`: a Python step over each group's rows (tuples, in order), which returns a tuple for each row.
+    """by, order and the columns of `added`: a Python step over each group's rows (tuples, in order; boxes as x0, y0, x1, y1), which returns a tuple for each row.
 
     Many groups share an Arrow batch, so small groups cost little; a group (a document or a page) is one step.
     """
     types = dict(rows.dtypes)
     names = [order, *(c for c in columns if c != order)]
-    g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_rows"))
+    new = [x.split() for x in added.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for *key, group in zip(*(pdf[c] for c in by), pdf["_rows"], strict=True):
-                group = [tuple(r[c] for c in names) for r in group]
-                out += [(*key, r[0], *new) for r, new in zip(group, step(group), strict=True)]
-            yield pd.DataFrame(out, columns=[*by, order, *(x.split()[0] for x in added.split(", "))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, group = _groups(batch)
+            every = list(zip(*(_values(flat.field(c)) for c in names), strict=True))
+            ends = np.cumsum(np.bincount(group, minlength=batch.num_rows)).tolist()
+            out = [r for lo, hi in zip([0, *ends], ends, strict=False) for r in step(every[lo:hi])]
+            made = [pa.array([r[k] for r in out], _ARROW[kind]) for k, (_, kind) in enumerate(new)]
+            keys = [batch.column(c).take(pa.array(group)) for c in by]
+            yield pa.RecordBatch.from_arrays([*keys, flat.field(order), *made], [*by, order, *(name for name, _ in new)])
 
-    return g.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*by, order]) + ", " + added)
+    return _grouped(rows, by, names).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in [*by, order]) + ", " + added)
 
 
 def cluster_boxes(drawings: DataFrame, grow: float = 14.0) -> DataFrame:
     """Adds `cluster`: connected boxes of a page, the least drawing number of each. drawings: doc_id, page, drawing_no, bbox.
 
-    Clusters never cross a page, so union-find runs in one step for each page; a sweep by x keeps it from comparing all pairs.
+    Clusters never cross a page, so they are found for each page, for all pages of a batch at once; a sweep by x keeps that from comparing all pairs.
     """
+    by, types = ["doc_id", "page"], dict(drawings.dtypes)
 
-    def page(rows: list[tuple]) -> list[tuple]:
-        b = [(x["x0"], x["y0"], x["x1"], x["y1"]) for _, x in rows]
-        parent = list(range(len(b)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        open_: list[int] = []
-        for i in sorted(range(len(b)), key=lambda i: b[i][0]):
-            open_ = [j for j in open_ if b[j][2] + grow >= b[i][0]]
-            for j in open_:
-                if b[j][1] - grow <= b[i][3] and b[j][3] + grow >= b[i][1]:
-                    p, q = sorted((find(i), find(j)))
-                    parent[q] = p
-            open_.append(i)
-        return [(rows[find(i)][0],) for i in range(len(b))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, group = _groups(batch)
+            number = flat.field("drawing_no")
+            first = boxes.connected(group, boxes.sides(flat.field("bbox")), grow)
+            keys = [batch.column(c).take(pa.array(group)) for c in by]
+            yield pa.RecordBatch.from_arrays([*keys, number, number.take(pa.array(first)).cast(pa.int64())], [*by, "drawing_no", "cluster"])
 
-    return _each(drawings, ["doc_id", "page"], ["bbox"], "drawing_no", page, "cluster long")
+    return _grouped(drawings, by, ["drawing_no", "bbox"]).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in (*by, "drawing_no")) + ", cluster long")
 
 
 def rule_groups(rules: DataFrame, x_slack: float = 6.0, most_gap: float = 260.0) -> DataFrame:
     """First-fit: a rule joins the first group whose first rule has its x range (within slack) and whose last is near; groups of two or more stay."""
 
     def page(rows: list[tuple]) -> list[tuple]:
-        boxes, groups = [b for _, b in rows], []
-        for i in sorted(range(len(boxes)), key=lambda i: (boxes[i]["y0"], boxes[i]["x0"], i)):
-            b = boxes[i]
+        own, groups = [b for _, b in rows], []
+        for i in sorted(range(len(own)), key=lambda i: (own[i][1], own[i][0], i)):
+            b = own[i]
             for g in groups:
-                head, last = boxes[g[0]], boxes[g[-1]]
-                if abs(head["x0"] - b["x0"]) <= x_slack and abs(head["x1"] - b["x1"]) <= x_slack and b["y0"] - last["y1"] <= most_gap:
+                head, last = own[g[0]], own[g[-1]]
+                if abs(head[0] - b[0]) <= x_slack and abs(head[2] - b[2]) <= x_slack and b[1] - last[3] <= most_gap:
                     g.append(i)
                     break
             else:

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from leafmill.operators import detect, footnotes
@@ -153,3 +154,44 @@ def test_lattice_finds_spans_of_random_tables(spark):
     assert {(r.region, r.ord): (r.row_no, r.row_span, r.column_no, r.column_span) for r in rows} == want
     heads = {r.region: max(x.row_no for x in rows if x.region == r.region and x.header) for r in rows}
     assert all(heads[t] == (1 if any(v[3] > 1 and v[0] == 0 for (u, _), v in want.items() if u == t) else 0) for t in heads)
+
+
+def test_growing_leaves_no_tables_behind_and_takes_many_pages_at_once(spark, tmp_path):
+    """Rounds once wrote a checkpoint each; a chain of labels between figures needs many."""
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    try:
+        figures = [(1, p, (0.0, 0.0, 1.0, 1.0)) for p in range(40)] + [(1, p, (100.0, 0.0, 101.0, 1.0)) for p in range(40)]
+        labels = [(1, p, (2.0 * i, 0.0, 2.0 * i + 1, 1.0)) for p in range(40) for i in range(1, 50) if p % 2 or i != 25]
+        make = lambda rows: spark.createDataFrame(rows, f"doc_id int, page int, bbox {BOX}")
+        got = {}
+        for r in detect.grow(make(figures), make(labels), 1.0).collect():
+            got.setdefault(r.page, []).append((tuple(r.bbox), r.n_figures, r.n_labels))
+        for p in range(40):
+            want = [((0.0, 0.0, 101.0, 1.0), 2, 49)] if p % 2 else [((0.0, 0.0, 49.0, 1.0), 1, 24), ((52.0, 0.0, 101.0, 1.0), 1, 24)]
+            assert sorted(got[p]) == want
+        assert not [x for x in tmp_path.rglob("*") if x.is_file()]
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
+
+
+def test_boxes_of_many_pages_connect_as_in_a_union_find():
+    from leafmill.operators import boxes
+
+    rng = np.random.default_rng(4)
+    group = np.repeat(np.arange(60), rng.integers(0, 40, 60))
+    x, y = rng.integers(0, 200, (2, len(group))).astype(float)
+    box = np.stack([x, y, x + rng.integers(0, 20, len(x)), y + rng.integers(0, 20, len(x))])
+    box[:, 5] = np.nan
+    want = list(range(len(group)))
+    for i in range(len(want)):
+        for j in range(i):
+            if group[i] == group[j] and box[0, i] - 3 <= box[2, j] and box[2, i] + 3 >= box[0, j] and box[1, i] - 3 <= box[3, j] and box[3, i] + 3 >= box[1, j]:
+                a, b = want[i], want[j]
+                want = [min(a, b) if w in (a, b) else w for w in want]
+    for pairs in (boxes.PAIRS, 3):
+        boxes.PAIRS, kept = pairs, boxes.PAIRS
+        try:
+            assert boxes.connected(group, box, 3.0).tolist() == want
+        finally:
+            boxes.PAIRS = kept
