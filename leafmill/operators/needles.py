@@ -2,7 +2,8 @@
 
 A needle is known by one hash of a few of its characters: the least among the first of its windows. A text gives
 the least hash of every run of windows, so each place where a needle stands gives that needle's hash, and equality of
-hashes finds all candidates; `contains` then decides. A text of n characters gives about n / 5 rows for needles of 16
+hashes finds all candidates; `contains` then decides. Within a scope that happens in one step for each
+group of it, else by a join. A text of n characters gives about n / 5 rows for needles of 16
 characters or more. Needles from 4 characters use windows of 4, shorter ones single characters.
 """
 
@@ -88,16 +89,70 @@ def _keyed_texts(classes: list[int], bits):
     return run
 
 
+def meet(texts: list[str], wanted: list[str]) -> Iterator[tuple[int, str]]:
+    """Which needle stands in which text. Few or short ones are looked for one by one; else only where a key of the text is a needle's."""
+    chars = sum(map(len, texts))
+    if len(wanted) * (chars + 60 * len(texts)) <= 45_000 * len(wanted) + 400 * chars:  # nanoseconds, about
+        yield from ((i, x) for i, v in enumerate(texts) for x in wanted if x in v)
+        return
+    known: dict[tuple[int, int], list[str]] = {}
+    for x in wanted:
+        known.setdefault(needle_key(x), []).append(x)
+    hashes = {k: np.fromiter((h for c, h in known if c == k), np.int64) for k in {c for c, _ in known}}
+    for i, v in enumerate(texts):
+        for k, own in hashes.items():
+            there = text_keys(v, k)
+            yield from ((i, x) for h in there[np.isin(there, own)].tolist() for x in known[k, h] if x in v)
+
+
+def _within(key: list[str], scope: list[str]):
+    rest = [c for c in key if c not in scope]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from leafmill.operators import needles
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                texts, asked = part.column("_texts"), part.column("_needles")
+                rows, at, met = [], [], []  # of texts, of groups, needles
+                ends = np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+                flat = texts.flatten()
+                values = flat.field("_v").to_pylist()
+                for g, (first, last, own) in enumerate(zip([0, *ends], ends, asked.to_pylist(), strict=False)):
+                    for i, x in needles.meet(values[first:last], own):
+                        rows.append(first + i)
+                        at.append(g)
+                        met.append(x)
+                rows, at = pa.array(rows, pa.int64()), pa.array(at, pa.int64())
+                columns = {c: part.column(c).take(at) for c in scope} | {c: flat.field(c).take(rows) for c in rest}
+                yield pa.RecordBatch.from_arrays([*(columns[c] for c in key), pa.array(met, pa.string())], [*key, "needle"])
+
+    return run
+
+
+def _find_within(v: DataFrame, key: list[str], needles: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """Each group of the scope with its texts and needles is one row: what is sent grows as the input, and no key of a text is ever a row."""
+    types = {f.name: f.dataType.simpleString() for f in v.schema}
+    rest = [c for c in key if c not in scope]
+    texts = v.where("_v <> ''").groupBy(*scope).agg(F.collect_list(F.struct(*rest, "_v")).alias("_texts"))
+    asked = needles.where("needle <> ''").groupBy(*scope).agg(F.collect_set("needle").alias("_needles"))
+    met = texts.join(asked, list(scope)).mapInArrow(_within(key, list(scope)), ", ".join(f"`{c}` {types[c]}" for c in key) + ", needle string")
+    return met.distinct()
+
+
 def find(texts: DataFrame, key: list[str], text: Column, needles: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """key columns, needle: the distinct needles that stand somewhere in each text.
 
     needles: the scope columns and `needle`; empty and null ones are left out. scope: columns of `key` that a needle and a text must share (a
-    document, say). Texts are read twice, never multiplied by needles; a null or empty text holds nothing; texts that share
-    a key count as one.
+    document, say); the texts and needles of one scope are met in one step. Without a scope texts are read twice. Texts are never multiplied by needles; a null
+    or empty text holds nothing; texts that share a key count as one.
     """
-    wanted = needles.select(*scope, "needle").where("needle <> ''").distinct()
-    of = {f.name: f.dataType.simpleString() for f in wanted.schema}
-    marked = cut(wanted.mapInArrow(_keyed_needles, ", ".join(f"`{c}` {of[c]}" for c in (*scope, "needle")) + ", _class int, _hash long"))
+    v = texts.select(*key, F.coalesce(text, F.lit("")).alias("_v"))
+    if scope:
+        return _find_within(v, key, needles, scope)
+    wanted = needles.select("needle").where("needle <> ''").distinct()
+    marked = cut(wanted.mapInArrow(_keyed_needles, "needle string, _class int, _hash long"))
     classes = sorted(r[0] for r in marked.select("_class").distinct().collect())  # three at most
     slot = F.col("_hash").bitwiseAND(F.lit((1 << BITS) - 1))
     words = marked.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_hash & 63 as int))")).alias("b")).collect()
@@ -105,8 +160,8 @@ def find(texts: DataFrame, key: list[str], text: Column, needles: DataFrame, sco
     for r in words:
         bits[r.w] = r.b
     sent = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
-    v = texts.select(*key, F.coalesce(text, F.lit("")).alias("_v"))
     types = {f.name: f.dataType.simpleString() for f in v.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in key) + ", _class int, _hash long"
-    met = v.mapInArrow(_keyed_texts(classes, sent), schema).join(marked, [*scope, "_class", "_hash"]).select(*key, "needle").distinct()
-    return met.join(v, key).where(F.contains("_v", "needle")).select(*key, "needle").distinct()
+    met = v.mapInArrow(_keyed_texts(classes, sent), schema).join(marked, ["_class", "_hash"])
+    asked = met.groupBy(*key).agg(F.collect_set("needle").alias("_needles"))  # so that a text is sent once, not for each needle
+    return asked.join(v, key).select(*key, F.explode(F.filter("_needles", lambda x: F.contains("_v", x))).alias("needle")).distinct()

@@ -43,6 +43,27 @@ def test_find_equals_brute_force(spark):
     assert needles.find(frame, ["i"], F.col("t"), ask.select("needle").limit(0)).count() == 0
 
 
+def test_meeting_is_the_same_one_by_one_and_by_keys():
+    rng = random.Random(7)
+    for chars, n in ((40, 5), (60_000, 400)):  # the second asks for keys
+        texts = ["".join(rng.choice("abcde") for _ in range(chars)) for _ in range(3)] + [""]
+        wanted = sorted({t[i : i + k] for t in texts if t for k in (1, 3, 4, 15, 16, 40) for i in rng.sample(range(chars), n // 5)} | {"nowhere"})
+        got = list(needles.meet(texts, wanted))
+        assert len(got) == len(set(got))
+        assert set(got) == {(i, x) for i, t in enumerate(texts) for x in wanted if x in t}
+
+
+def test_needles_of_a_document_are_met_without_a_row_for_each_key_of_its_text(spark):
+    """The keys of all texts were once rows of a shuffle: more than the texts, as soon as needles filled the bitmap."""
+    text = "".join(random.Random(8).choice("abcdefgh") for _ in range(3000))
+    texts = spark.createDataFrame([(1, p, text) for p in range(4)], "d long, i long, t string")
+    ask = spark.createDataFrame([(1, text[k : k + 20]) for k in range(0, 2900, 7)], "d long, needle string")
+    found = needles.find(texts, ["d", "i"], F.col("t"), ask, ("d",))
+    assert found.count() == 4 * ask.distinct().count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_hash" not in plan
+
+
 def test_nearest_equals_brute_force_and_compares_few_pairs(spark):
     rng = random.Random(3)
     vectors = [(i % 2, i, [float(min(255, max(0, base + rng.randint(-9, 9)))) for base in [rng.choice((10, 90, 200))] * 8 for _ in [0]]) for i in range(400)]
