@@ -16,30 +16,37 @@ def presence(sides: dict[str, DataFrame], key: list[str]) -> DataFrame:
 
 
 def contract(source: DataFrame, plan: DataFrame, candidate: DataFrame, legal: list[str], key: str = "id") -> DataFrame:
-    """Problems of a render contract: code and id. source: id, required; plan: id; candidate: id, located, omit_reason."""
-    s = source.select(key, "required").distinct()
-    known = source.select(key).distinct()
-    planned = plan.select(key).distinct()
-    shown = candidate.select(key).distinct()
-    legally = candidate.where(F.col("omit_reason").isin(legal)).select(key).distinct()
-    need = s.where("required").select(key)
+    """Problems of a render contract: code and id. source: id, required; plan: id; candidate: id, located, omit_reason.
+
+    All sides meet in one grouped sum, so rows of an id are reduced before the only shuffle; null ids are no one's equal and have problems of their own.
+    """
+    why = F.col("omit_reason")
+    marks = {
+        "_known": ("source", F.lit(True)),
+        "_need": ("source", F.col("required")),
+        "_planned": ("plan", F.lit(True)),
+        "_shown": ("candidate", F.lit(True)),
+        "_located": ("candidate", F.col("located")),
+        "_legal": ("candidate", why.isin(legal)),
+        "_illegal": ("candidate", why.isNotNull() & ~why.isin(legal)),
+    }
+    parts = None
+    for side, rows in {"source": source, "plan": plan, "candidate": candidate}.items():
+        own = [(when if of == side else F.lit(False)).alias(name) for name, (of, when) in marks.items()]
+        p = rows.select(key, *own, F.lit(int(side == "candidate")).alias("_n"))
+        parts = p if parts is None else parts.unionByName(p)
+    one = parts.groupBy(key).agg(*[F.coalesce(F.bool_or(name), F.lit(False)).alias(name) for name in marks], F.sum("_n").alias("_n"))
+    has = lambda name: F.col(name) & F.col(key).isNotNull()
     found = {
-        "UNSOURCED_PLAN": planned.join(known, key, "left_anti"),
-        "UNPLANNED": need.join(planned, key, "left_anti"),
-        "UNKNOWN_CANDIDATE": shown.join(known, key, "left_anti"),
-        "MISSING": need.join(candidate.where("located").select(key), key, "left_anti").join(legally, key, "left_anti"),
-        "DUPLICATE": duplicates(candidate, [key]).select(key),
-        "ILLEGAL_OMISSION": candidate.where(F.col("omit_reason").isNotNull() & ~F.col("omit_reason").isin(legal)).select(key).distinct(),
+        "UNSOURCED_PLAN": F.col("_planned") & ~has("_known"),
+        "UNPLANNED": F.col("_need") & ~has("_planned"),
+        "UNKNOWN_CANDIDATE": F.col("_shown") & ~has("_known"),
+        "MISSING": F.col("_need") & ~has("_located") & ~has("_legal"),
+        "DUPLICATE": F.col("_n") > 1,
+        "ILLEGAL_OMISSION": F.col("_illegal"),
     }
-    return union_findings(found)
-
-
-def union_findings(found: dict[str, DataFrame]) -> DataFrame:
-    out = None
-    for code, df in found.items():
-        f = df.select(F.lit(code).alias("code"), *df.columns)
-        out = f if out is None else out.unionByName(f)
-    return out
+    codes = F.array_compact(F.array(*[F.when(when, code) for code, when in found.items()]))
+    return one.select(F.explode(codes).alias("code"), key)
 
 
 def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -47,6 +47,18 @@ def test_contract(spark):
     assert got == {("UNSOURCED_PLAN", "x"), ("UNPLANNED", "b"), ("MISSING", "b"), ("DUPLICATE", "a"), ("ILLEGAL_OMISSION", "b")}
 
 
+def test_contract_meets_all_sides_in_one_shuffle_and_keeps_null_ids(spark):
+    """Six joins once sorted the same rows again and again within a task."""
+    source = spark.createDataFrame([("a", True), ("a", False), (None, True), ("d", None)], "id string, required boolean")
+    plan = spark.createDataFrame([(None,), ("a",)], "id string")
+    cand = spark.createDataFrame([(None, True, "legal"), (None, None, None), ("a", None, "legal"), ("z", True, None)], "id string, located boolean, omit_reason string")
+    out = reconcile.contract(source, plan, cand, ["legal"])
+    assert sorted((r.code, r.id or "") for r in out.collect()) == [("DUPLICATE", ""), ("MISSING", ""), ("UNKNOWN_CANDIDATE", ""), ("UNKNOWN_CANDIDATE", "z"), ("UNPLANNED", ""), ("UNSOURCED_PLAN", "")]
+    plan_text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan_text
+    assert reconcile.contract(source, source, cand, ["legal"]).where("code = 'UNPLANNED'").count() == 1
+
+
 def test_inversions(spark):
     df = spark.createDataFrame([(0, 1, 1), (0, 2, 3), (0, 3, 2), (0, 4, None)], "g int, a int, b int")
     assert tuple(ordering.inversions(df, ["g"], "a", "b").first()) == (0, 3, 1)
