@@ -9,6 +9,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,6 +177,75 @@ def alike(x: str, y: str, least: float) -> bool:
     return enough(matched)
 
 
+def _common(a: str, b: str) -> int:
+    """Length of a longest common subsequence, a bit for each character of `a`."""
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for ch in b:
+        if u := v & where.get(ch, 0):
+            v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+def _longest_by_size(a: str, b: str) -> tuple[int, int, int]:
+    """As `_longest`: the greatest size of which both have a common piece, then its first place in each."""
+    pieces = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)}
+    shared = lambda n: not pieces(b, n).isdisjoint(a[i : i + n] for i in range(len(a) - n + 1))
+    most = min(len(a), len(b))
+    lo, hi = 0, 1
+    while hi <= most and shared(hi):
+        lo, hi = hi, 2 * hi
+    hi = min(hi, most + 1)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if shared(mid) else (lo, mid)
+    if not lo:
+        return 0, 0, 0
+    there = pieces(b, lo)
+    i = next(i for i in range(len(a) - lo + 1) if a[i : i + lo] in there)
+    return i, b.index(a[i : i + lo]), lo
+
+
+def within(a: str, b: str, least: float) -> bool:
+    """Whether the share of `a` in SequenceMatcher's matching blocks (without junk) is `least` at least; it ends as soon as that is settled.
+
+    Blocks are a common subsequence, whose greatest length bounds what a pair of stretches can still match.
+    """
+    if not a:
+        return least <= 0
+    if a in b:
+        return least <= 1
+    enough = lambda n: n / len(a) >= least
+    if not enough(min(len(a), len(b))):
+        return False
+    open_ = [(-_common(a, b), a, b)]
+    matched, most = 0, -open_[0][0]
+    while open_ and enough(most) and not enough(matched):
+        n, x, y = heapq.heappop(open_)
+        i, j, k = _longest_by_size(x, y) if max(len(x), len(y)) < 5_000 else _longest(x, y)
+        most += n
+        if k:
+            matched, most = matched + k, most + k
+            for c, d in ((x[:i], y[:j]), (x[i + k :], y[j + k :])):
+                if part := _common(c, d):
+                    heapq.heappush(open_, (-part, c, d))
+                    most += part
+    return enough(matched)
+
+
+def covered(part: Column, whole: Column, least: float) -> Column:
+    """Whether `token_coverage` is `least` at least, settled by bounds."""
+
+    @F.pandas_udf(T.BooleanType())
+    def one(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([within(x or "", y or "", least) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return one(part, whole)
+
+
 @F.pandas_udf(T.BooleanType())
 def fuzzy_match(a: pd.Series, b: pd.Series) -> pd.Series:
     """Both of 30 characters at least, length ratio 0.9 and matching ratio 0.96."""

@@ -24,9 +24,10 @@ def within(part: Column, whole: Column) -> Column:
     return F.when((part != "") & F.contains(whole, part), 1.0).otherwise(0.0)
 
 
-def replaced(units: DataFrame, items: DataFrame, coverage: Callable[[Column, Column], Column] = A.token_coverage, unit_chars: int = UNIT_CHARS, group_chars: int = GROUP_CHARS, least: float = COVERAGE) -> DataFrame:
+def replaced(units: DataFrame, items: DataFrame, coverage: Callable[[Column, Column], Column] | None = None, unit_chars: int = UNIT_CHARS, group_chars: int = GROUP_CHARS, least: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, unit_id: units that each ready item replaces.
 
+    coverage: share of a unit's token in the payload; by default that of matching blocks, decided no further than `least` needs.
     A unit is a seed if its centre lies in a source region of the item or its text, long enough, is covered by the payload. A run of covered units
     with a seed, a table or a caption among them is replaced whole; between the first and last replaced unit of a page short parts
     of the payload go too. With a span method and an anchor on the page everything from the anchor on goes that has no reason to stay.
@@ -38,7 +39,8 @@ def replaced(units: DataFrame, items: DataFrame, coverage: Callable[[Column, Col
     held = F.exists("regions", lambda g: (g["page"] == F.col("page")) & x.between(g["bbox"]["x0"], g["bbox"]["x1"]) & y.between(g["bbox"]["y0"], g["bbox"]["y1"]))
     r = r.withColumn("held", F.coalesce(held, F.lit(False))).withColumn("size", F.char_length("token"))
     some = F.char_length("payload") >= group_chars
-    r = r.withColumn("covered", F.coalesce((F.col("token") != "") & (coverage(F.col("token"), F.col("payload")) >= least), F.lit(False)))
+    enough = coverage(F.col("token"), F.col("payload")) >= least if coverage else A.covered(F.col("token"), F.col("payload"), least)
+    r = r.withColumn("covered", F.coalesce((F.col("token") != "") & enough, F.lit(False)))
     r = r.withColumn("seed", F.col("held") | (F.col("covered") & (F.col("size") >= unit_chars) & (F.char_length("payload") >= unit_chars)))
     page = Window.partitionBy("doc_id", "item_id", "page")
     order = page.orderBy("ord", "unit_id")

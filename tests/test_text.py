@@ -123,3 +123,26 @@ def test_fuzzy_match_query_gives_every_pair(spark, monkeypatch):
         return short >= 30 and short >= 0.9 * most and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.96
 
     assert len(long) > 1500 and got == {i: want(texts[0], texts[i]) for i in range(1, 6)}
+
+
+def test_coverage_is_settled_by_bounds_as_by_all_matching_blocks():
+    """A long line against a long payload once took time as the product of their lengths."""
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    from leafmill.functions import arrow
+
+    rng = random.Random(9)
+    some = lambda n, letters="abc": "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(some(rng.randint(0, 14)), some(rng.randint(0, 30))) for _ in range(1500)]
+    for _ in range(60):
+        b = some(300, "abcdefghijkl")
+        pairs.append(("".join(c if rng.random() < 0.93 else "z" for c in b[40:200]), b))
+    for a, b in pairs:
+        share = 0.0 if not a else 1.0 if a in b else sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) / len(a)
+        assert [arrow.within(a, b, x) for x in (0.5, 0.75, 0.9)] == [share >= x for x in (0.5, 0.75, 0.9)], (a, b)
+    a, b = some(30_000, "ab"), some(30_000, "cd") + "ab" * 10
+    began = time.process_time()
+    assert not arrow.within(a, b, 0.9)
+    assert time.process_time() - began < 20
