@@ -5,6 +5,7 @@ drawings: doc_id, page, drawing_no, bbox. blocks: doc_id, page, block_id, ord, b
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -117,7 +118,9 @@ def _lanes(span: tuple[float, float], lanes: list[tuple[float, float]]) -> tuple
     return met[0], met[-1] - met[0] + 1
 
 
-def _lattice(boxes: list[tuple[float, float, float, float]], row_gap: float, column_gap: float, tall: float) -> list[tuple[int, int, int, int, bool]]:
+@functools.lru_cache(4096)
+def _lattice(boxes: tuple[tuple[float, float, float, float], ...], row_gap: float, column_gap: float, tall: float) -> list[tuple[int, int, int, int, bool]]:
+    """Regions of one layout recur, so the last ones are remembered."""
     heights = sorted(b[3] - b[1] for b in boxes)
     most = tall * heights[len(heights) // 2]
     down = _project([(b[1], b[3]) for b in boxes if b[3] - b[1] <= most], -row_gap)
@@ -126,8 +129,7 @@ def _lattice(boxes: list[tuple[float, float, float, float]], row_gap: float, col
     for b, (k, n) in zip(boxes, rows, strict=True):
         for r in range(k, k + n):
             by_row.setdefault(r, []).append((b[0], b[2]))
-    for own in by_row.values():
-        own.sort()
+    by_row = {r: sorted(own) for r, own in by_row.items() if len(own) > 1}  # one box alone is never apart
 
     def spans(b: tuple, k: int, n: int) -> bool:
         """Whether the box lies over two boxes of another row that are apart."""
@@ -154,7 +156,7 @@ def lattice(cells: DataFrame, row_gap: float = 4.0, column_gap: float = 6.0, tal
     """
 
     def region(rows: list[tuple]) -> list[tuple]:
-        return _lattice([b for _, b in rows], row_gap, column_gap, tall)
+        return _lattice(tuple(b for _, b in rows), row_gap, column_gap, tall)
 
     added = "row_no int, row_span int, column_no int, column_span int, header boolean"
     return ordering._each(cells.where("bbox is not null"), ["doc_id", "page", "region"], ["bbox"], "ord", region, added)
