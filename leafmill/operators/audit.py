@@ -138,13 +138,18 @@ def _neighbours(pages: DataFrame, value: Column, name: str) -> DataFrame:
     return g.select("doc_id", "page", F.array_join(F.transform("parts", lambda p: p["v"]), "\n").alias(name))
 
 
-def _missing_statistics(source: Column, target: Column, adjacent: Column) -> tuple[Column, Column]:
-    """Statistics of the source that neither the target has, nor a conversion gives, nor adjacent pages have if these have two or more; and the latter."""
+def _missing_statistics(rows: DataFrame, source: Column, target: Column, adjacent: Column) -> DataFrame:
+    """Adds `_have`, the statistics of the source, `_gone`, those that neither the target has, nor a conversion gives, nor adjacent pages have if these have two or more, and `_moved`, the latter.
+
+    Each step is a column of its own, so a text is searched once; that of the adjacent pages only where two statistics or more are gone.
+    """
+    none = F.array().cast("array<string>")
     both = F.concat_ws("\n", F.nullif(target, F.lit("")), F.nullif(adjacent, F.lit("")))
-    gone = F.array_except(F.array_except(X.statistics(source), X.statistics(target)), X.converted_statistics(source, both))
-    shared = F.array_intersect(gone, X.statistics(adjacent))
-    moved = F.when(F.size(shared) >= 2, shared).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_except(gone, moved)), F.array_sort(moved)
+    rows = rows.withColumn("_have", X.statistics(source)).withColumn("_gone", F.array_except("_have", X.statistics(target)))
+    rows = rows.withColumn("_gone", F.when(F.size("_gone") > 0, F.array_except("_gone", X.converted_statistics(source, both))).otherwise(F.col("_gone")))
+    rows = rows.withColumn("_moved", F.when(F.size("_gone") >= 2, F.array_intersect("_gone", X.statistics(adjacent))))
+    rows = rows.withColumn("_moved", F.when(F.size("_moved") >= 2, F.col("_moved")).otherwise(none))
+    return rows.withColumn("_gone", F.array_sort(F.array_except("_gone", "_moved"))).withColumn("_moved", F.array_sort("_moved"))
 
 
 def page_audit(units: DataFrame, source_lang: Column, target_lang: Column, kept: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
@@ -171,7 +176,7 @@ def page_audit(units: DataFrame, source_lang: Column, target_lang: Column, kept:
 
     s, t = F.col("source"), F.col("target")
     hard, review = gates.compression_floors(F.col("from_lang"), F.col("to_lang"))
-    gone, moved = _missing_statistics(s, t, F.col("adjacent"))
+    pages = _missing_statistics(pages, s, t, F.col("adjacent"))
     ratio = F.when(F.col("source_chars") > 0, F.round(F.col("translation_chars") / F.col("source_chars"), 3))
     retained = F.when(F.col("source_sentences") > 0, F.round(F.col("translation_sentences") / F.col("source_sentences"), 3))
     pages = pages.withColumns(
@@ -180,8 +185,8 @@ def page_audit(units: DataFrame, source_lang: Column, target_lang: Column, kept:
             "translation_chars": X.content_length(t),
             "source_sentences": X.sentence_count(s, SOURCE_SENTENCE),
             "translation_sentences": X.sentence_count(t, TARGET_SENTENCE),
-            "missing_statistics": gone,
-            "relocated_statistics": moved,
+            "missing_statistics": F.col("_gone"),
+            "relocated_statistics": F.col("_moved"),
             "missing_citations": _lost(X.citations(s), X.citations(t)),
             "missing_acronyms": _lost(X.acronyms(s), X.present_acronyms(t)),
             "missing_urls": _lost(X.urls(s), X.urls(t)),
@@ -190,7 +195,7 @@ def page_audit(units: DataFrame, source_lang: Column, target_lang: Column, kept:
             "review": review,
         }
     ).withColumns({"ratio": ratio, "sentence_retention": retained})
-    n_of = {"statistics": F.size(X.statistics(s)), "citations": F.size(X.citations(s)), "acronyms": F.size(X.acronyms(s))}
+    n_of = {"statistics": F.size("_have"), "citations": F.size(X.citations(s)), "acronyms": F.size(X.acronyms(s))}
     long_ = F.col("source_chars") >= PAGE_CHARS
     rules = [
         ("SEVERE_TRANSLATION_COMPRESSION", long_ & (F.col("ratio") < F.col("hard"))),
@@ -203,16 +208,21 @@ def page_audit(units: DataFrame, source_lang: Column, target_lang: Column, kept:
     flags = [F.when(~F.col("reference_page") & hit, F.lit(code)) for code, hit in rules] + [F.when(F.size("relocated_statistics") > 0, F.lit("ADJACENT_PAGE_ANCHOR_SHIFT"))]
     pages = pages.withColumn("page_flags", F.array_compact(F.array(*flags)))
 
-    own = unit_flags(u.where(~F.col("entry")).join(near, ["doc_id", "page"], "left"), kept)
-    by_page = own.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("unit_id", "flags"))).alias("unit_issues"))
+    own = _unit_flags(u.where(~F.col("entry")).join(near, ["doc_id", "page"], "left"), kept)
+    by_page = own.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.when(F.size("flags") > 0, F.struct("unit_id", "flags")))).alias("unit_issues"))
     issues = "array<" + dict(by_page.dtypes)["unit_issues"].removeprefix("array<")
     pages = pages.join(by_page, ["doc_id", "page"], "left").withColumn("unit_issues", F.coalesce("unit_issues", F.array().cast(issues)))
     every = F.array_sort(F.array_distinct(F.concat("page_flags", F.flatten(F.transform("unit_issues", lambda x: x["flags"])))))
-    return pages.withColumn("flags", every).drop("source", "target", "all_target", "adjacent", "from_lang", "to_lang", "hard", "review", "page_flags")
+    return pages.withColumn("flags", every).drop("source", "target", "all_target", "adjacent", "from_lang", "to_lang", "hard", "review", "page_flags", "_have", "_gone", "_moved")
 
 
 def unit_flags(units: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """doc_id, page, unit_id, flags of units of 30 characters or more that are too short or lose a quarter of four or more statistics."""
+    return _unit_flags(units, kept).where(F.size("flags") > 0)
+
+
+def _unit_flags(units: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """The same with units that have no flag: a condition on flags would be pushed down and work them out twice."""
     if kept is not None:
         units = units.join(kept.select("doc_id", "unit_id", F.lit(True).alias("_kept")).distinct(), ["doc_id", "unit_id"], "left")
     else:
@@ -221,11 +231,11 @@ def unit_flags(units: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     hard, review = gates.compression_floors(F.col("from_lang"), F.col("to_lang"))
     n = X.content_length(s)
     short = gates.compression_flag(X.text(F.col("kind")), n, F.round(X.content_length(t) / n, 3), hard, review, F.coalesce("_kept", F.lit(False)))
-    gone, _ = _missing_statistics(s, t, X.text(F.col("adjacent")))
-    have = F.size(X.statistics(s))
-    lost = F.when((have >= UNIT_STATISTICS) & (F.size(gone) / have >= 0.25), F.lit("STATISTICAL_ANCHOR_LOSS"))
+    units = _missing_statistics(units.where(n >= UNIT_CHARS), s, t, X.text(F.col("adjacent")))
+    have = F.size("_have")
+    lost = F.when((have >= UNIT_STATISTICS) & (F.size("_gone") / have >= 0.25), F.lit("STATISTICAL_ANCHOR_LOSS"))
     flags = F.array_sort(F.array_compact(F.array(short, lost)))
-    return units.where(n >= UNIT_CHARS).select("doc_id", "page", "unit_id", flags.alias("flags")).where(F.size("flags") > 0)
+    return units.select("doc_id", "page", "unit_id", flags.alias("flags"))
 
 
 def page_anchors(c: Column) -> Column:

@@ -95,3 +95,11 @@ def test_mapping_drift(spark):
     rows = [(1, 1, a[:6], []), (1, 2, [], a[:6]), (1, 3, a[:6], a[:4]), (2, 1, a[:4], []), (2, 2, [], a[:4])]
     got = audit.mapping_drift(spark.createDataFrame(rows, "doc_id int, page int, anchors array<string>, target_anchors array<string>")).collect()
     assert [(r.doc_id, r.page, r.score, r.neighbour, r.neighbour_score) for r in got] == [(1, 1, 0, 2, 6)]
+
+
+def test_a_page_audit_searches_each_text_once(spark):
+    """Conversions of statistics once stood eleven times in the plan, and each was worked out anew."""
+    from leafmill.plans import queries_audit
+
+    pages = audit.page_audit(queries_audit._units(spark, "/root/testdata/sf0.001"), F.lit("en"), F.lit("zh"))
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("thousand|million|billion") <= 2
