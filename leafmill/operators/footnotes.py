@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import geom as G
@@ -52,14 +52,21 @@ def detect(blocks: DataFrame, drawings: DataFrame, pages: DataFrame) -> DataFram
 
 
 def entries(notes: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """by, entry, marker, body: numbered entries of each text, with the lines that follow them; lines before the first number belong to none."""
-    lines = notes.select(*by, F.posexplode(F.split(F.regexp_replace(X.text(F.col(text)), "\r\n|\r", "\n"), "\n")).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))).where("line <> ''")
-    mark = F.nullif(F.regexp_extract("line", ENTRY, 1), F.lit(""))
-    lines = lines.withColumn("mark", mark).withColumn("entry", F.count("mark").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).where("entry > 0")
-    rest = F.trim(F.regexp_replace("line", ENTRY, ""))
-    part = F.struct("at", F.when(F.col("mark").isNotNull(), rest).otherwise(F.col("line")).alias("t"))
-    out = lines.groupBy(*by, "entry").agg(F.max("mark").alias("marker"), F.array_sort(F.collect_list(part)).alias("parts"))
-    return out.select(*by, "entry", "marker", F.trim(F.array_join(F.transform("parts", lambda p: p["t"]), " ")).alias("body"))
+    """by, entry, marker, body: numbered entries of each text, with the lines that follow them; lines before the first number belong to none.
+
+    A text is cut where it stands: rows are neither sent nor sorted. `by` is a key of `notes`.
+    """
+    lines = F.transform(F.split(F.regexp_replace(X.text(F.col(text)), "\r\n|\r", "\n"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    rows = notes.select(*by, F.filter(lines, lambda x: x != "").alias("_lines"))
+    rows = rows.withColumn("_marks", F.transform("_lines", lambda x: F.regexp_extract(x, ENTRY, 1)))
+    rows = rows.withColumn("_starts", F.filter(F.transform("_marks", lambda m, i: F.when(m != "", i + 1)), lambda i: i.isNotNull())).where(F.size("_starts") > 0)
+
+    def one(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_starts", k + 1), F.size("_lines") + 1)
+        own = F.transform(F.slice("_lines", start, end - start), lambda x, i: F.when(i == 0, F.trim(F.regexp_replace(x, ENTRY, ""))).otherwise(x))
+        return F.struct((k + 1).cast("long").alias("entry"), F.element_at("_marks", start).alias("marker"), F.trim(F.array_join(own, " ")).alias("body"))
+
+    return rows.select(*by, F.explode(F.transform("_starts", one)).alias("e")).select(*by, "e.entry", "e.marker", "e.body")
 
 
 def match(a: list[str], b: list[str]) -> list[tuple[int, int]]:

@@ -195,3 +195,14 @@ def test_boxes_of_many_pages_connect_as_in_a_union_find():
             assert boxes.connected(group, box, 3.0).tolist() == want
         finally:
             boxes.PAIRS = kept
+
+
+def test_entries_are_cut_without_a_shuffle(spark):
+    """Lines were once exploded, sorted in a window and gathered again."""
+    text = " lead\n1. one\r\n goes  on \n\n(2) two\r3)\n12 a 4 b\nend"
+    notes = spark.createDataFrame([(1, text), (2, None), (3, "none here")], "k int, text string")
+    out = footnotes.entries(notes, ["k"])
+    got = [tuple(r) for r in out.orderBy("k", "entry").collect()]
+    assert got == [(1, 1, "1", "one goes  on"), (1, 2, "2", "two 3)"), (1, 3, "12", "a 4 b end")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
