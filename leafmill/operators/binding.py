@@ -151,11 +151,18 @@ def anchor_pages(items: DataFrame, pages: DataFrame, item_id: str, page_id: str,
     return hits.join(best, item_id).where(F.col("n_hits") == F.col("best")).select(item_id, page_id, "n_hits")
 
 
-def fingerprint_nearest(queries: DataFrame, index: DataFrame, block: str, limit: float, contrast: float) -> DataFrame:
-    """Nearest of each query by mean absolute difference, within a block key, limit and contrast floor. Columns: id, v, and the block."""
-    q = queries.where(G.contrast(F.col("v")) >= contrast).alias("a")
-    d = G.mean_abs_distance(F.col("a.v"), F.col("b.v"))
-    pairs = q.join(index.where(G.contrast(F.col("v")) >= contrast).alias("b"), (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.id") != F.col("b.id")))
+def fingerprint_nearest(queries: DataFrame, index: DataFrame, block: str, limit: float, contrast: float, parts: int = 16) -> DataFrame:
+    """Nearest of each query by mean absolute difference, within a block key, limit and contrast floor. Columns: id, v, and the block.
+
+    All queries of a block meet all of its rows. The rows of a block lie in `parts` parts, to each of which its queries are sent, so a block is not one task; vectors are sent as given and
+    compared as doubles.
+    """
+    wide = lambda v: F.transform(v, lambda x: x.cast("double"))
+    sharp = lambda df: df.where(G.contrast(wide(F.col("v"))) >= contrast)
+    q = sharp(queries).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("a")
+    x = sharp(index).withColumn("_part", F.pmod(F.hash("id"), F.lit(parts))).alias("b")
+    d = G.mean_abs_distance(wide(F.col("a.v")), wide(F.col("b.v")))
+    pairs = q.join(x, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a._part") == F.col("b._part")) & (F.col("a.id") != F.col("b.id")))
     best = pairs.groupBy(F.col("a.id").alias("id")).agg(F.min(F.struct(d.alias("distance"), F.col("b.id").alias("nearest"))).alias("m"))
     return best.select("id", F.col("m.nearest").alias("nearest"), F.col("m.distance").alias("distance")).where(F.col("distance") <= limit)
 

@@ -93,3 +93,12 @@ def test_search():
     assert ordering.first_that_fits([1, 2, 3, 4], lambda x: x >= 3) == 2
     assert ordering.first_that_fits([1, 2], lambda x: False) is None
     assert ordering.first_that_fits([], lambda x: True) is None
+
+
+def test_nearest_of_one_block_is_spread_and_sends_vectors_as_given(spark):
+    rows = [(i, [float((i * k) % 7) for k in range(1, 9)], 0) for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, v array<float>, label int")
+    out = binding.fingerprint_nearest(v.where("id % 10 = 0"), v, "label", 9.0, 0.0)
+    want = {i: min((sum(abs(a - b) for a, b in zip(x, y)) / 8, j) for j, y, _ in rows if j != i)[::-1] for i, x, _ in rows if i % 10 == 0}
+    assert {r.id: (r.nearest, r.distance) for r in out.collect()} == want
+    assert "_part" in out._jdf.queryExecution().optimizedPlan().toString()
