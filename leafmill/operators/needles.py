@@ -4,7 +4,7 @@ A needle is known by one hash of a few of its characters: the least among the fi
 the least hash of every run of windows, so each place where a needle stands gives that needle's hash, and equality of
 hashes finds all candidates; `contains` then decides. Within a scope that happens in one step for each
 group of it, else by a join. A text of n characters gives about n / 5 rows for needles of 16
-characters or more. Needles from 4 characters use windows of 4, shorter ones single characters.
+characters or more. Needles from 4 characters use windows of 4, shorter ones all of their characters.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from leafmill.session import cut
 
 #: (least characters of a needle, characters of a window), longest first.
-CLASSES = ((16, 8), (4, 4), (1, 1))
+CLASSES = ((16, 8), (4, 4), (3, 3), (2, 2), (1, 1))
 #: Hashes of needles that every task knows, as bits; texts give no rows for others. A fixed size: it prunes less where needles are very many.
 BITS = 22
 _U = np.uint64
