@@ -6,7 +6,8 @@ most frequent shingles, gathered over all documents in chunks and so a little lo
 order gives the same result; a good one keeps frequent shingles out of the prefixes. Two sets that reach the threshold share at least L shingles of their
 prefixes of length n - ceil(threshold * n) + L, for any L; each document picks the L of least estimated cost
 (postings read, and candidates that remain when L matches are needed), and a pair needs as many
-shared prefix shingles as the smaller L of the two before its sets are compared.
+shared prefix shingles as the smaller L of the two before its sets are compared. Most prefix shingles are held by one class only; a
+bitmap of those that come twice drops them within tasks, before anything is shuffled (it may let some through).
 
 Pairs are not all made: first every posting list compares its members with one leader, the one with least before it, which joins
 a group of copies in as many comparisons as it has members; then only lists that still hold several components
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import textkernel as K
 from leafmill.llm.components import components
-from leafmill.llm.idfilter import thin
+from leafmill.llm.idfilter import packed, slots, thin, twice_bits
 from leafmill.llm.scratch import Scratch
 
 _U = np.uint64
@@ -39,6 +40,8 @@ HEAVY = 1 << 19
 MOST_MATCHES = 3
 STARS = 1
 COMPARE_COST = 20.0  # of comparing two sets, in postings read
+BITS = 26  # of the bitmap of prefix shingles that two classes hold
+FLUSH = 1 << 20  # shingles that a task packs together
 
 
 def need(n: np.ndarray | int, percent: int):
@@ -121,10 +124,18 @@ def choose(freq: np.ndarray, n: int, percent: int, most: int = MOST_MATCHES) ->
     return at
 
 
-def _prefixes(k: int, percent: int, heavy):
+def _marked(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & _U(1) == 1
+
+
+def _prefixes(k: int, percent: int, heavy, reps):
+    """Rows (id, text, slot of id) whose slot is set to prefixes."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tuple(np.frombuffer(x, t) for x, t in zip(heavy.value, (np.uint64, np.int64), strict=True))
+        wanted = np.frombuffer(reps.value, np.uint64)
         for batch in batches:
+            batch = batch.filter(pa.array(_marked(wanted, batch.column(2).to_numpy())))
             ids = batch.column(0).to_pylist()
             rep, n, matches, tokens = [], [], [], []
             for row, s in _sets(batch, 1, k):
@@ -145,6 +156,43 @@ def _prefixes(k: int, percent: int, heavy):
     return run
 
 
+def _slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The top BITS + 16 bits of all prefix shingles (one list column), packed."""
+
+    def made(held: list[np.ndarray]) -> pa.RecordBatch:
+        return packed(np.sort(np.concatenate(held)) >> _U(48 - BITS), 32)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.column(0).flatten().to_numpy().view(np.uint64))
+        size += len(held[-1])
+        if size >= FLUSH:
+            yield made(held)
+            held, size = [], 0
+    if size:
+        yield made(held)
+
+
+def _repeating(bitmap):
+    """Rows (rep, n, matches, tokens) to those of their tokens whose bit is set, with their positions in the prefix; rows without any go."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(bitmap.value, np.uint64)
+        for batch in batches:
+            token, size = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
+            slot = (token.view(np.uint64) >> _U(64 - BITS)).astype(np.int64)
+            at = np.flatnonzero(_marked(words, slot))
+            first = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(size)), size)[at]
+            rows, begin = np.unique(row, return_index=True)
+            if len(rows):
+                off = pa.array(np.concatenate((begin, [len(at)])).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (token[at], (at - first[row]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 2]).take(pa.array(rows)).columns, *lists], ["rep", "n", "matches", "tokens", "at"])
+
+    return run
+
+
 def _linked(percent: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray | None] = (None, None)
@@ -190,12 +238,17 @@ class JaccardJoin:
 
     def _postings(self) -> DataFrame:
         """(token, rep, n, matches) of prefix shingles that more than one class holds."""
-        lists = self.docs.mapInArrow(_prefixes(self.k, self.percent, self.heavy), "rep long, n long, matches int, tokens array<long>")
+        slot, reps = slots(self.spark, self.classes.select("rep"))
+        docs = self.docs.where("id is not null").select("id", "text", slot(F.col("id")).alias("slot"))
+        every = self.scratch.put(docs.mapInArrow(_prefixes(self.k, self.percent, self.heavy, reps), "rep long, n long, matches int, tokens array<long>"), "every-prefix")
+        twice = twice_bits(self.spark, every.select("tokens").mapInArrow(_slots, "part long, slots binary"), BITS)
+        lists = every.mapInArrow(_repeating(twice), "rep long, n long, matches int, tokens array<long>, at array<int>")
         lists = lists.join(self.classes.select("rep", "n"), ["rep", "n"], "left_semi")
         if self._repeats():
-            lists = lists.dropDuplicates(["rep", "n", "tokens"])
+            lists = lists.dropDuplicates(["rep", "n", "matches", "tokens", "at"])
         lists = self.scratch.put(lists, "prefixes")
-        rows = lists.select("rep", F.posexplode("tokens").alias("pos", "token"))
+        self.scratch.drop(every)
+        rows = lists.select("rep", F.explode(F.arrays_zip("at", "tokens")).alias("p")).select("rep", F.col("p.at").alias("pos"), F.col("p.tokens").alias("token"))
         if self._repeats():
             rows = rows.groupBy("rep", "token").agg(F.lit(0).alias("pos"))
         shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
