@@ -98,7 +98,9 @@ def contrast(v: Column) -> Column:
     """Population standard deviation of a numeric array."""
     n = F.size(v)
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
+    # through an array of one, so that the mean is worked out once and not for each value
+    spread = F.transform(F.array(mean), lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
+    return F.sqrt(F.get(spread, F.lit(0)) / n)
 
 
 def mean_abs_distance(a: Column, b: Column) -> Column:

@@ -151,20 +151,30 @@ def anchor_pages(items: DataFrame, pages: DataFrame, item_id: str, page_id: str,
     return hits.join(best, item_id).where(F.col("n_hits") == F.col("best")).select(item_id, page_id, "n_hits")
 
 
-def fingerprint_nearest(queries: DataFrame, index: DataFrame, block: str, limit: float, contrast: float, parts: int = 16) -> DataFrame:
+def fingerprint_nearest(queries: DataFrame, index: DataFrame, block: str, limit: float, contrast: float, rows: int = 32768) -> DataFrame:
     """Nearest of each query by mean absolute difference, within a block key, limit and contrast floor. Columns: id, v, and the block.
 
-    All queries of a block meet all of its rows. The rows of a block lie in `parts` parts, to each of which its queries are sent, so a block is not one task; vectors are sent as given and
-    compared as doubles.
+    All queries of a block meet all of its rows. A block of more than about `rows` queries or rows is dealt into parts, and each pair of parts meets in
+    one step, which holds both as arrays: no pair of rows is ever a row. Vectors are sent as given, once for each part of the other side, and compared as doubles.
     """
-    wide = lambda v: F.transform(v, lambda x: x.cast("double"))
-    sharp = lambda df: df.where(G.contrast(wide(F.col("v"))) >= contrast)
-    q = sharp(queries).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("a")
-    x = sharp(index).withColumn("_part", F.pmod(F.hash("id"), F.lit(parts))).alias("b")
-    d = G.mean_abs_distance(wide(F.col("a.v")), wide(F.col("b.v")))
-    pairs = q.join(x, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a._part") == F.col("b._part")) & (F.col("a.id") != F.col("b.id")))
-    best = pairs.groupBy(F.col("a.id").alias("id")).agg(F.min(F.struct(d.alias("distance"), F.col("b.id").alias("nearest"))).alias("m"))
-    return best.select("id", F.col("m.nearest").alias("nearest"), F.col("m.distance").alias("distance")).where(F.col("distance") <= limit)
+    from leafmill.operators import closest
+
+    wide = F.transform("v", lambda x: x.cast("double"))
+    n_parts = lambda df, name: df.groupBy(block).agg(F.ceil(F.count("*") / rows).alias(name))
+    large = n_parts(queries, "_nq").join(n_parts(index, "_nx"), block).where("_nq > 1 or _nx > 1")  # at most a row for each `rows` rows
+    q_id, x_id = queries.schema["id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
+
+    def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        kept = df.select(*[F.col(c).alias(c) for c in ("id", "v", block)]).where(F.col("id").isNotNull() & F.col(block).isNotNull() & (G.contrast(wide) >= contrast))
+        kept = kept.join(F.broadcast(large), block, "left")
+        kept = kept.withColumn(own, F.pmod(F.xxhash64("id"), F.coalesce(n_own, F.lit(1))))
+        return kept.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n_other, F.lit(1)) - 1))).drop("_nq", "_nx")
+
+    key = [block, "_qpart", "_part"]
+    q, x = dealt(queries, "_qpart", "_nq", "_part", "_nx"), dealt(index, "_part", "_nx", "_qpart", "_nq")
+    met = q.groupBy(*key).cogroup(x.groupBy(*key)).applyInArrow(lambda a, b: closest.nearest(a, b, limit), f"id {q_id}, distance double, nearest {x_id}")
+    best = met.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("m"))
+    return best.select("id", F.col("m.nearest").alias("nearest"), F.col("m.distance").alias("distance"))
 
 
 def cascade(items: DataFrame, evidence: list[tuple[str, DataFrame]], item_id: str, value: str) -> DataFrame:

@@ -245,6 +245,7 @@ def fallback_plan(spark, d):
 
 def nearest_bind(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    ship(spark)
     return binding.fingerprint_nearest(v.where("id % 100 = 0"), v, "label", 0.118, 0.12).select("id", "nearest")
 
 
