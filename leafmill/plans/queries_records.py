@@ -246,7 +246,7 @@ def fallback_plan(spark, d):
 def nearest_bind(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     ship(spark)
-    return binding.fingerprint_nearest(v.where("id % 100 = 0"), v, "label", 0.118, 0.12).select("id", "nearest")
+    return binding.fingerprint_nearest(v, v, "label", 0.118, 0.12).select("id", "nearest")
 
 
 def first_by_key(spark, d):
@@ -333,7 +333,7 @@ ORACLES = {
         SELECT p_partkey, strategy, CASE WHEN strategy <> 'omit-nonsemantic' AND type IN ('table', 'chart', 'display-formula') THEN 3 ELSE 1 END AS n_levels,
         CASE WHEN strategy <> 'omit-nonsemantic' AND type IN ('table', 'chart', 'display-formula') THEN 'preserve-element-region' END AS fallback, CASE WHEN strategy = 'omit-nonsemantic' THEN 'omitted' ELSE 'ready' END AS status, conf < 0.7::DOUBLE AS low_confidence FROM s""",
     "nearest_bind": """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: pow(x - list_avg(v), 2))) / len(v)) AS s FROM v),
-        p AS (SELECT a.id, b.id AS other, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / len(a.v) AS d FROM c a JOIN c b ON a.label = b.label AND a.id <> b.id WHERE a.id % 100 = 0 AND a.s >= 0.12 AND b.s >= 0.12)
+        p AS (SELECT a.id, b.id AS other, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / len(a.v) AS d FROM c a JOIN c b ON a.label = b.label AND a.id <> b.id WHERE a.s >= 0.12 AND b.s >= 0.12)
         SELECT id, arg_min(other, d) AS nearest FROM p GROUP BY 1 HAVING min(d) <= 0.118""",
     "cluster_boxes": f"""WITH RECURSIVE {_BLOCKS}, d AS (SELECT page, ord, min(x0) AS x0, min(y0) AS y0, min(x1) AS x1, min(y1) AS y1, count(*) AS n FROM b GROUP BY 1, 2),
         j AS (SELECT p.page, p.ord AS a, q.ord AS c FROM d p JOIN d q ON p.page = q.page AND p.x0 - 14 <= q.x1 AND p.x1 + 14 >= q.x0 AND p.y0 - 14 <= q.y1 AND p.y1 + 14 >= q.y0),
