@@ -1,7 +1,8 @@
 """Exact nearest neighbours within a limit, by pivots and the triangle inequality.
 
-Two vectors within the limit differ by at most the limit in their distance to any pivot. So distances to a few pivots, in cells as
-wide as the limit, are equality keys: a query looks into its own and the neighbouring cells, never at a whole group.
+Two vectors within the limit differ by at most the limit in their distance to any pivot. So the distance to the first pivot, in cells
+`CELLS` limits wide, is an equality key: a query is sent to the one or two cells that its limit reaches, never to a whole group. The other pivots rule
+out pairs within a cell; as keys they would multiply the vectors that are sent.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import geom as G
 
+CELLS = 4
+
 
 def _to_pivots(v: Column, pivots: list[list[float]]) -> list[Column]:
     return [G.mean_abs_distance(v, F.array(*[F.lit(float(x)) for x in p])) for p in pivots]
@@ -24,16 +27,14 @@ def candidates(queries: DataFrame, index: DataFrame, limit: float, group: list[s
         row = F.struct(*[c for c in df.columns if c not in group]).alias(name)
         return df.where(F.size("v") == len(pivots[0])).select(*group, row, *[d.alias(f"{name}{p}") for d, p in zip(_to_pivots(F.col("v"), pivots), names, strict=True)])
 
-    cells = lambda name: [F.floor(F.col(f"{name}{p}") / limit) for p in names]
+    cell = lambda d: F.floor(d / (CELLS * limit))
     q, x = keyed(queries, "q"), keyed(index, "x")
-    for p, c in zip(names, cells("q"), strict=True):
-        q = q.withColumn(p, F.explode(F.array(c - 1, c, c + 1)))
-    for p, c in zip(names, cells("x"), strict=True):
-        x = x.withColumn(p, c)
+    q = q.withColumn("_cell", F.explode(F.sequence(cell(F.col("q_p0") - limit), cell(F.col("q_p0") + limit))))
+    x = x.withColumn("_cell", cell(F.col("x_p0")))
     near = F.lit(True)
     for p in names:
         near = near & (F.abs(F.col(f"q{p}") - F.col(f"x{p}")) <= limit)
-    return q.join(x, [*group, *names]).where(near).select(*group, "q", "x")
+    return q.join(x, [*group, "_cell"]).where(near).select(*group, "q", "x")
 
 
 def nearest(queries: DataFrame, index: DataFrame, limit: float, group: list[str], pivots: list[list[float]], query_id: str, order: list[str]) -> DataFrame:

@@ -78,7 +78,7 @@ def mapping_summary(spark, d):
 
 def settled_pages(spark, d):
     """How many elements the order of pages settles, round by round."""
-    rows = mapping.settle(_map(spark, d))
+    rows = mapping.settled(_map(spark, d))
     return rows.groupBy("doc_id", "settled_round").agg(F.count("*").alias("n"), F.sum("settled_page").alias("pages")).withColumn("settled_round", F.col("settled_round").cast("long"))
 
 
