@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import geom as G
 from leafmill.operators import mapping, needles
-from leafmill.session import cut, ship, table
+from leafmill.session import ship, table
 
 _GRID = 4
 
@@ -89,7 +89,7 @@ def mapping_drifted(spark, d):
     moved = lambda df: df.withColumn("page", F.col("page") + (F.col("doc_id") % 2).cast("int"))
     now = mapping.build(elements, pages, images, grid=_GRID)
     stored = mapping.build(elements, moved(pages), moved(images), grid=_GRID)
-    return mapping.differences(cut(stored), cut(now)).groupBy("doc_id", "field").agg(F.count("*").alias("n"))
+    return mapping.differences(stored, now).groupBy("doc_id", "field").agg(F.count("*").alias("n"))
 
 
 def benchmark_passages(spark, d):

@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from leafmill.operators import mapping, metric
+from leafmill.plans import queries_mapping
 from leafmill.session import shared_dir
 
 
@@ -21,6 +22,15 @@ def test_settling_writes_no_rounds(spark):
     assert _files(spark) == before
 
 
+def test_a_comparison_of_mappings_writes_two_tables_in_parquet(spark, tmp_path):
+    text = "\n".join(f"line {k} of a text with some words" for k in range(20))
+    spark.createDataFrame([(d, text) for d in range(3)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = _files(spark)
+    assert queries_mapping.mapping_drifted(spark, str(tmp_path)).count() > 0
+    new = [f for f in _files(spark) - before if "/part-" in f and not f.endswith(".crc")]
+    assert all(f.endswith(".parquet") for f in new) and len({os.path.dirname(f) for f in new}) == 2
+
+
 def test_a_query_vector_is_sent_at_most_twice(spark):
     v = spark.range(50).select(F.lit(0).alias("g"), "id", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: (F.col("id") * k * 7 % 200).cast("double")).alias("v"))
     pivots = [[0.0] * 4, [200.0] * 2 + [0.0] * 2, [200.0, 0.0] * 2]
